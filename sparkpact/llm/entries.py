@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import op1_exact_dedup
 from .mixing import op2_mixing
+from .simhash import op9_simhash
+from .substring_dedup import op4_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
