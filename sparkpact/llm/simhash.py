@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from .components import connected_components
 from .exact_dedup import without_rows
 from .shared import KEY, drop, materialize, with_row_key
@@ -259,6 +260,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     all are null. Exactly one row of a component is kept: the first by id (nulls last) and place.
     An empty table gives an empty result. Other columns of docs play no part.
     """
+    ship(docs.sparkSession)
     own = with_row_key(docs).select(*KEY, F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1])
     prints = materialize(own.mapInArrow(lambda b: _fingerprint_batches(b, shingle), f"{fields}, _fp long"), "sim-prints")

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from .shared import KEY, bitmap, drop, in_bitmap, materialize, split_by_keys, with_row_key
 from .textops import blocks, byte_sizes, mixed, words, xxh64
 
@@ -311,6 +312,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their own, and so copies. An empty table gives an empty result. Other columns of docs
     play no part.
     """
+    ship(docs.sparkSession)
     own = with_row_key(docs).select(*KEY, F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     spans = repeat_spans(own.select(*KEY, "_text"), window, prefix, hot_from)
     spans = spans.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "hi")).alias("_spans"))
