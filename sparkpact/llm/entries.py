@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import op1_exact_dedup
 from .mixing import op2_mixing
+from .pieces import op10_sentencepiece
 from .simhash import op9_simhash
 from .substring_dedup import op4_substring_dedup
+from .token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_token_counts": op6_token_counts,
     "op9_simhash": op9_simhash,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
