@@ -40,6 +40,8 @@ def dedup_state(stream: DataFrame, checkpoint: str) -> DataFrame:
     put = {
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # many small stores: without this each reserves megabytes for its logs
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     }
     before = {k: spark.conf.get(k, None) for k in put}
     kept = stream.groupBy("_digest").agg(
