@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import op1_exact_dedup
+from .language_id import op5_language_id
 from .mixing import op2_mixing
 from .pieces import op10_sentencepiece
 from .simhash import op9_simhash
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
     "op9_simhash": op9_simhash,
     "op10_sentencepiece": op10_sentencepiece,
