@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import op1_exact_dedup
 from .language_id import op5_language_id
+from .licenses import OP8_SQL, op8_license_scan
 from .mixing import op2_mixing
+from .mtree import op3_mtree_search
 from .pieces import op10_sentencepiece
+from .preference import OP7_SQL, op7_preference
 from .simhash import op9_simhash
 from .substring_dedup import op4_substring_dedup
 from .token_counts import op6_token_counts
@@ -17,9 +20,12 @@ from .token_counts import op6_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_mixing": op2_mixing,
+    "op3_mtree_search": op3_mtree_search,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
+    "op7_preference": op7_preference,
+    "op8_license_scan": op8_license_scan,
     "op9_simhash": op9_simhash,
     "op10_sentencepiece": op10_sentencepiece,
 }
@@ -31,4 +37,6 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op7_preference": OP7_SQL,
+    "op8_license_scan": OP8_SQL,
 }
