@@ -142,6 +142,8 @@ class Node:
     index: int | None
     kind: str
     text: str
+    #: the pointer with '*' for each array index
+    template: str
 
 
 _ESCAPES = {'"': '"', "\\": "\\", "/": "/", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
@@ -359,13 +361,14 @@ def escape_token(token: str) -> str:
 def flatten(value: Any) -> list[Node]:
     """Every value of a document, a container before what it holds, members in byte order."""
     out: list[Node] = []
-    todo: list[tuple] = [(value, "#", None, None, None)]
+    todo: list[tuple] = [(value, "#", None, None, None, "#")]
     while todo:
-        v, pointer, parent, name, index = todo.pop()
-        out.append(Node(pointer, parent, name, index, kind_of(v), v if isinstance(v, str) else canonical(v)))
+        v, pointer, parent, name, index, shape = todo.pop()
+        out.append(Node(pointer, parent, name, index, kind_of(v), v if isinstance(v, str) else canonical(v), shape))
         if isinstance(v, list):
-            todo += [(x, f"{pointer}/{i}", pointer, None, i) for i, x in reversed(list(enumerate(v)))]
+            todo += [(x, f"{pointer}/{i}", pointer, None, i, f"{shape}/*") for i, x in reversed(list(enumerate(v)))]
         elif isinstance(v, dict):
-            names = sorted(v, key=str.encode, reverse=True)
-            todo += [(v[n], f"{pointer}/{escape_token(n)}", pointer, n, None) for n in names]
+            for n in sorted(v, key=str.encode, reverse=True):
+                token = escape_token(n)
+                todo.append((v[n], f"{pointer}/{token}", pointer, n, None, f"{shape}/{token}"))
     return out
