@@ -492,3 +492,74 @@ def percent_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which rules of the lineitem contract some row breaks."""
     return entry(spark, sf_dir).select(F.concat_ws(" ", "pointer", "keyword").alias("obligation"), (F.col("violations") > 0).alias("covered"))
+
+
+# generated cases
+GENERATED = """
+openapi: 3.0.3
+info: {title: cases, version: "1"}
+paths:
+  /case:
+    post:
+      operationId: case
+      requestBody:
+        content:
+          application/json:
+            schema:
+              type: object
+              required: [id, tags]
+              additionalProperties: false
+              minProperties: 2
+              properties:
+                id: {type: integer, format: int32, minimum: 1, maximum: 9, multipleOf: 2}
+                tags: {type: array, minItems: 1, maxItems: 3, items: {type: string, pattern: '^[a-c]+$', maxLength: 4}}
+                kind: {type: string, nullable: true, enum: [x, y, null]}
+                mail: {type: string, format: email, maxLength: 20}
+                size: {anyOf: [{type: number, minimum: 10}, {type: string, minLength: 3}]}
+"""
+
+
+def _generated() -> Schema:
+    from ..contract import compile_contract
+
+    return compile_contract(GENERATED)["case"].body
+
+
+@query("g01_cases_agree", "SELECT true AS agree")
+def cases_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated rows, judged again: the verdict is the expected one for each."""
+    from ..generate.cases import generate_cases
+
+    cases = generate_cases(spark, _generated())
+    errors = columns.body_errors(_generated())(F.col("json"))
+    return cases.select(((F.size(errors) == 0) == F.col("valid")).alias("agree")).distinct()
+
+
+@query("g08_obligations")
+def obligation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What generated rows have to cover, in order."""
+    from ..generate.cases import obligation_table
+
+    return obligation_table(spark, _generated())
+
+
+@query("g28_coverage")
+def case_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which obligations generated rows cover."""
+    from ..generate.cases import coverage as covered
+    from ..generate.cases import generate_cases
+
+    return covered(spark, _generated(), generate_cases(spark, _generated()))
+
+
+@query(
+    "x01_stream_verdicts",
+    f"SELECT CASE WHEN {_K} < 10 OR {_K} > 89 THEN 1 ELSE 0 END AS errors, count(*) AS n FROM events GROUP BY 1",
+)
+def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: events validated as a stream, its verdicts counted."""
+    from ..streaming.validate import validated_stream, written
+
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    done = written(validated_stream(rows, warehouse()["props"], "props").select("event_id", F.size("errors").alias("errors")))
+    return done.groupBy("errors").agg(F.count(F.lit(1)).alias("n"))
