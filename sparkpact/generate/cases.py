@@ -354,6 +354,16 @@ def obligation_table(spark: SparkSession, root: Schema) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, pointer string, template string, rule string, target string")
 
 
+def covering(root: Schema, o: Obligation, max_steps: int) -> str | None:
+    """A row for one obligation, from a search of its own."""
+    search = Search(root, max_steps)
+    try:
+        v = search.level(o) if o.target.startswith("level") else search.fault(o)
+    except Budget:
+        return None
+    return None if v is NOTHING else canonical(v)
+
+
 def generate_cases(spark: SparkSession, root: Schema, max_steps: int = 2000) -> DataFrame:
     """ord, json, valid: a row for each obligation that its own search of max_steps can cover."""
     ship(spark)
@@ -362,15 +372,9 @@ def generate_cases(spark: SparkSession, root: Schema, max_steps: int = 2000) ->
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                o = Obligation(row.pointer, row.template, row.rule, row.target)
-                valid = o.target.startswith("level")
-                one = Search(root, max_steps)
-                try:
-                    v = one.level(o) if valid else one.fault(o)
-                except Budget:
-                    continue
-                if v is not NOTHING:
-                    out.append((row.ord, canonical(v), valid))
+                text = covering(root, Obligation(row.pointer, row.template, row.rule, row.target), max_steps)
+                if text is not None:
+                    out.append((row.ord, text, row.target.startswith("level")))
             yield pd.DataFrame(out, columns=["ord", "json", "valid"]).astype({"ord": "int32", "valid": bool})
 
     table = obligation_table(spark, root)

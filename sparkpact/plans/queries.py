@@ -560,6 +560,7 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension: events validated as a stream, its verdicts counted."""
     from ..streaming.validate import validated_stream, written
 
-    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet")
+    # by a pattern, as a stream's plain path must be a folder and a table may be a single file
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     done = written(validated_stream(rows, warehouse()["props"], "props").select("event_id", F.size("errors").alias("errors")))
     return done.groupBy("errors").agg(F.count(F.lit(1)).alias("n"))
