@@ -8,26 +8,26 @@ Rates: of all document rates between 0 and `most` whose words add up to the targ
 those of the greatest entropy relative to equal rates. By duality a document of size x
 has the rate most / (1 + exp(-lambda * x / mean)): its odds are tilted exponentially, by one
 multiplier a source. Newton steps on the convex dual find all multipliers at once. A step is
-one aggregation over (source, size) cells, which hold the counts of documents and
-stand for all of them exactly.
-
-Copies: cells are rounded to whole copies. Those of long documents go first, each to the
-nearest count; the short ones take up what is left, from longer to shorter. The fold that
-does so runs over at most SHORT cells a source. Which documents of a cell get one copy
-more is decided by a hash of their ids, so reruns agree: those up to the cell's threshold.
-The threshold is found without sorting the cell, by counts over the hashes' first bits.
+one aggregation over cells, which hold the counts of a source's documents by size: every
+size up to SHORT is a cell, longer ones share cells 1.1 % wide. A cell has one rate.
+
+Copies: a fold over a source's cells, from long to short, rounds each to whole copies and
+hands on what rounding left. It sees SHORT + 64 * 20 cells a source at most. Which
+documents of a cell get one copy more is decided by a hash of their ids, so reruns agree:
+those up to the cell's threshold. The threshold is found without sorting the cell, by
+counts over the hashes' first bits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import drop, materialize
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Sizes below this are rounded by the fold, larger ones one by one.
+#: Sizes below this have cells of their own, larger ones 64 cells for each doubling.
 SHORT = 4096
 #: Newton steps at most, and the residual (of a target) that ends them; the fold evens out the rest.
 STEPS, NEAR = 25, 1e-4
@@ -37,6 +37,10 @@ SMALL_CELLS = 1 << 19
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _same_cell() -> Column:
+    return F.expr("c.source <=> s.source and c.cell = s.cell")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], ratio: float, most: float) -> DataFrame:
     """(source, source_size, target) from (source, source_size); one row a source."""
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
@@ -57,7 +61,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], ratio: float, m
 
 
 def document_rates(cells: DataFrame, targets: DataFrame, most: float) -> DataFrame:
-    """cells (source, size, n) with each cell's rate and its source's residual, by Newton steps on the dual.
+    """cells (source, cell, size, n) with each cell's rate and its source's residual, by Newton steps on the dual.
 
     A target of nothing, or of all that `most` allows, is met at the boundary: its
     multiplier would be infinite.
@@ -100,53 +104,42 @@ def document_rates(cells: DataFrame, targets: DataFrame, most: float) -> DataFra
         if state.filter("not _done").isEmpty():
             break
     return cells.alias("c").join(state.alias("s"), same).select(
-        "c.source", "size", "n", "source_size", "target", rate.alias("rate"), F.when(F.col("_done"), F.col("_off")).otherwise(0.0).alias("_off")
+        "c.source", "cell", "size", "n", "source_size", "target", rate.alias("rate"), F.when(F.col("_done"), F.col("_off")).otherwise(0.0).alias("_off")
     )
 
 
 def cell_copies(rates: DataFrame, most: int) -> DataFrame:
     """rates with _take, the copies that all of a cell's documents get together."""
-    due = F.col("n") * F.col("rate")
-    long = rates.filter(F.col("size") >= SHORT).withColumn("_take", F.round(due).cast("long"))
-    left = long.groupBy("source").agg(F.sum((due - F.col("_take")) * F.col("size")).alias("_left"))
-    cell = F.struct((-F.col("size")).alias("s"), "n", "rate")
-    short = rates.filter(F.col("size") < SHORT).groupBy("source").agg(
-        F.sort_array(F.collect_list(cell)).alias("_cells"), F.first("_off").alias("_off")
-    )
-    short = short.alias("c").join(left.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")), "left")
-    short = short.select("c.source", "_cells", (F.col("_off") + F.coalesce("_left", F.lit(0.0))).alias("_off"))
-    none = F.expr("cast(array() as array<struct<size:bigint,take:bigint>>)")
+    one_cell = F.struct((-F.col("cell")).alias("c"), "size", "n", "rate")
+    folded = rates.groupBy("source").agg(F.sort_array(F.collect_list(one_cell)).alias("_cells"), F.first("_off").alias("_off"))
 
     def one(acc, x):
-        size = -x["s"]
-        due = x["n"] * x["rate"] * size + acc["off"]
-        take = F.when(size > 0, F.least(F.greatest(F.round(due / size), F.lit(0.0)), x["n"] * F.lit(float(most)))).otherwise(0.0)
-        got = F.struct(size.alias("size"), take.cast("long").alias("take"))
-        return F.struct((due - take * size).alias("off"), F.array_append(acc["out"], got).alias("out"))
+        due = x["n"] * x["rate"] * x["size"] + acc["off"]
+        take = F.when(x["size"] > 0, F.least(F.greatest(F.round(due / x["size"]), F.lit(0.0)), x["n"] * F.lit(float(most)))).otherwise(0.0)
+        got = F.struct((-x["c"]).alias("cell"), take.cast("long").alias("take"))
+        return F.struct((due - take * x["size"]).alias("off"), F.array_append(acc["out"], got).alias("out"))
 
+    none = F.expr("cast(array() as array<struct<cell:bigint,take:bigint>>)")
     start = F.struct(F.col("_off").alias("off"), none.alias("out"))
-    taken = short.select("source", F.inline(F.aggregate("_cells", start, one)["out"])).withColumnRenamed("take", "_take")
-    taken = taken.unionByName(long.select("source", "size", "_take"))
-    key = F.col("c.source").eqNullSafe(F.col("s.source")) & (F.col("c.size") == F.col("s.size"))
-    return rates.alias("c").join(taken.alias("s"), key).select("c.source", "c.size", "n", "source_size", "target", "_take")
+    taken = folded.select("source", F.inline(F.aggregate("_cells", start, one)["out"])).withColumnRenamed("take", "_take")
+    return rates.alias("c").join(taken.alias("s"), _same_cell()).select("c.source", "c.cell", "n", "source_size", "target", "_take")
 
 
 def thresholds(hashed: DataFrame, cells: DataFrame) -> DataFrame:
-    """cells with _upto: in a cell, as many hashes (source, size, _h) are up to it as get one copy more."""
-    key = F.col("c.source").eqNullSafe(F.col("s.source")) & (F.col("c.size") == F.col("s.size"))
-    some = cells.withColumn("_extra", F.col("_take") % F.col("n")).filter("_extra > 0").select("source", "size", "_extra")
+    """cells with _upto: in a cell, as many hashes (source, cell, _h) are up to it as get one copy more."""
+    some = cells.withColumn("_extra", F.col("_take") % F.col("n")).filter("_extra > 0").select("source", "cell", "_extra")
     head = F.shiftright("_h", 54)  # 1,024 signed heads, in the order of the hashes
-    counts = hashed.groupBy("source", "size", head.alias("_head")).agg(F.count(F.lit(1)).alias("_m"))
-    counts = counts.alias("c").join(some.alias("s"), key).select("c.*", "_extra")
-    run = F.sum("_m").over(Window.partitionBy("source", "size").orderBy("_head"))
+    counts = hashed.groupBy("source", "cell", head.alias("_head")).agg(F.count(F.lit(1)).alias("_m"))
+    counts = counts.alias("c").join(some.alias("s"), _same_cell()).select("c.*", "_extra")
+    run = F.sum("_m").over(Window.partitionBy("source", "cell").orderBy("_head"))
     cut = counts.withColumn("_rank", F.col("_extra") - (run - F.col("_m"))).filter("_rank between 1 and _m")
-    cut = materialize(cut.select("source", "size", "_head", "_rank"), "mix-cut")
-    of = hashed.withColumn("_head", head).alias("c").join(cut.alias("s"), key & (F.col("c._head") == F.col("s._head")))
-    of = of.select("c.source", "c.size", "c._h", "s._head", "_rank")
-    nth = F.row_number().over(Window.partitionBy("source", "size", "_head").orderBy("_h"))
-    found = of.withColumn("_nth", nth).filter("_nth = _rank").select("source", "size", F.col("_h").alias("_upto"))
-    out = cells.alias("c").join(found.alias("s"), key, "left")
-    return out.select("c.source", "c.size", "n", "source_size", "target", "_take", "_upto")
+    cut = materialize(cut.select("source", "cell", "_head", "_rank"), "mix-cut")
+    of = hashed.withColumn("_head", head).alias("c").join(cut.alias("s"), _same_cell() & (F.col("c._head") == F.col("s._head")))
+    of = of.select("c.source", "c.cell", "c._h", "s._head", "_rank")
+    nth = F.row_number().over(Window.partitionBy("source", "cell", "_head").orderBy("_h"))
+    found = of.withColumn("_nth", nth).filter("_nth = _rank").select("source", "cell", F.col("_h").alias("_upto"))
+    out = cells.alias("c").join(found.alias("s"), _same_cell(), "left")
+    return out.select("c.source", "c.cell", "n", "source_size", "target", "_take", "_upto")
 
 
 def mix(
@@ -167,16 +160,19 @@ def mix(
     """
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     own = docs.withColumns({"_source": F.col(source_col), "_size": words, "_h": F.xxhash64(F.col(id_col).cast("string"), F.lit("mix"))})
-    short = materialize(own.select(F.col("_source").alias("source"), F.col("_size").alias("size"), "_h"), "mix-sizes")
-    cells = materialize(short.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-cells")
-    sizes = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    cell = F.when(F.col("_size") < SHORT, F.col("_size")).otherwise(SHORT + F.floor(64 * F.log2(F.col("_size") / SHORT))).cast("long")
+    own = own.withColumn("_cell", cell)
+    short = materialize(own.select(F.col("_source").alias("source"), F.col("_cell").alias("cell"), F.col("_size").alias("size"), "_h"), "mix-sizes")
+    cells = short.groupBy("source", "cell").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    cells = materialize(cells.withColumn("size", F.col("words") / F.col("n")), "mix-cells")
+    sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     targets = materialize(source_targets(sizes, weights, ratio, most), "mix-targets")
     rates = materialize(document_rates(cells, targets, float(most)), "mix-rates")
     take = materialize(cell_copies(rates, most), "mix-take")
     table = materialize(thresholds(short, take), "mix-thresholds")
     drop(short)
     small = table.count() <= SMALL_CELLS
-    key = F.col("c._source").eqNullSafe(F.col("s.source")) & (F.col("c._size") == F.col("s.size"))
+    key = F.expr("c._source <=> s.source and c._cell = s.cell")
     more = F.when(F.col("_h") <= F.col("_upto"), 1).otherwise(0)
     copies = F.floor(F.col("_take") / F.col("n")) + more
     return own.alias("c").join((F.broadcast(table) if small else table).alias("s"), key).select(
