@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without that setting gets a temporary folder.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if found:
         return found.rstrip("/")
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
