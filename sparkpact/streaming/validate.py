@@ -21,7 +21,7 @@ def validated_stream(stream: DataFrame, request: Request, body: str) -> DataFram
 
 def shared_folder(spark: SparkSession) -> str:
     """Where executors and driver can all write: spark.checkpoint.dir, or a local folder in a local session."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
