@@ -564,3 +564,98 @@ def stream_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
     done = written(validated_stream(rows, warehouse()["props"], "props").select("event_id", F.size("errors").alias("errors")))
     return done.groupBy("errors").agg(F.count(F.lit(1)).alias("n"))
+
+
+# wire cells: values of part spelled in each style, decoded and validated
+_INT = {"type": "integer"}
+_STR = {"type": "string"}
+_BOX = {"type": "object", "properties": {"brand": _STR, "size": _INT}, "additionalProperties": False}
+_BRAND, _BRAND_SQL = "replace(p_brand, '#', '%23')", "p_brand"
+#: name -> (schema and style of parameter p, raw spelling, JSON of the value); both in SQL that Spark and DuckDB share
+CELLS: dict[str, tuple[dict, str, str]] = {
+    "q11_primitive": ({"schema": _INT}, "concat('p=', p_size)", "p_size"),
+    "q12_form_array": ({"schema": {"type": "array", "items": _INT}}, "concat('p=', p_size, '&p=7')", "concat('[', p_size, ',7]')"),
+    "q13_comma_array": ({"schema": {"type": "array", "items": _STR}, "explode": False}, f"concat('p=a%2Cb,', {_BRAND})", "concat('[\"a,b\",\"', p_brand, '\"]')"),
+    "q13_space_array": ({"schema": {"type": "array", "items": _INT}, "style": "spaceDelimited", "explode": False}, "concat('p=', p_size, '+3%205')", "concat('[', p_size, ',3,5]')"),
+    "q13_pipe_array": ({"schema": {"type": "array", "items": _INT}, "style": "pipeDelimited", "explode": False}, "concat('p=', p_size, '%7C3')", "concat('[', p_size, ',3]')"),
+    "q14_named_object": ({"schema": _BOX, "explode": False}, f"concat('p=size,', p_size, ',brand,', {_BRAND})", "concat('{\"size\":', p_size, ',\"brand\":\"', p_brand, '\"}')"),
+    "q15_exploded_object": ({"schema": _BOX}, f"concat('size=', p_size, '&other=1&brand=', {_BRAND})", "concat('{\"brand\":\"', p_brand, '\",\"size\":', p_size, '}')"),
+    "q04_deep_object": ({"schema": {**_BOX, "additionalProperties": _INT}, "style": "deepObject", "explode": True}, "concat('p%5Bz%5D=4&p%5Bsize%5D=', p_size)", "concat('{\"size\":', p_size, ',\"z\":4}')"),
+    "q16_json_content": ({"content": {"application/json": {"schema": {"type": "object"}}}}, "concat('p=%7B%22n%22%3A', p_size, '%7D')", "concat('{\"n\":', p_size, '}')"),
+    "q17_split_before_unescape": ({"schema": {"type": "array", "items": _STR}, "explode": False}, "concat('p=x%2Cy,', p_size)", "concat('[\"x,y\",\"', p_size, '\"]')"),
+    "q19_any_of": ({"schema": {"anyOf": [{"type": "integer", "maximum": 25}, _STR]}}, "concat('p=', p_size)", "CASE WHEN p_size <= 25 THEN concat(p_size, '') ELSE concat('\"', p_size, '\"') END"),
+    "p04_label_primitive": ({"in": "path", "style": "label", "schema": _INT}, "concat('/v/.', p_size)", "p_size"),
+    "p04_matrix_primitive": ({"in": "path", "style": "matrix", "schema": _STR}, f"concat('/v/;p=', {_BRAND})", "concat('\"', p_brand, '\"')"),
+    "p05_simple_array": ({"in": "path", "schema": {"type": "array", "items": _INT}}, "concat('/v/', p_size, ',8')", "concat('[', p_size, ',8]')"),
+    "p05_matrix_array": ({"in": "path", "style": "matrix", "explode": True, "schema": {"type": "array", "items": _INT}}, "concat('/v/;p=', p_size, ';p=8')", "concat('[', p_size, ',8]')"),
+    "p06_label_object": ({"in": "path", "style": "label", "explode": True, "schema": _BOX}, f"concat('/v/.size=', p_size, '.brand=', {_BRAND})", "concat('{\"size\":', p_size, ',\"brand\":\"', p_brand, '\"}')"),
+    "p06_simple_object": ({"in": "path", "schema": _BOX}, "concat('/v/size,', p_size)", "concat('{\"size\":', p_size, '}')"),
+    "p07_json_content": ({"in": "path", "content": {"application/json": {"schema": _INT}}}, "concat('/v/', p_size)", "p_size"),
+    "p09_any_of": ({"in": "path", "schema": {"anyOf": [{"type": "integer", "minimum": 9}, _STR]}}, "concat('/v/', p_size)", "CASE WHEN p_size >= 9 THEN concat(p_size, '') ELSE concat('\"', p_size, '\"') END"),
+}
+
+
+def _cell(name: str) -> None:
+    import functools
+    import json
+
+    parameter, raw, value = CELLS[name]
+    where = parameter.get("in", "query")
+
+    @functools.lru_cache(maxsize=1)
+    def contract():
+        from ..contract import compile_contract
+
+        p = {"name": "p", "in": where, "required": True, **parameter}
+        path = "/v/{p}" if where == "path" else "/v"
+        return compile_contract(json.dumps({"openapi": "3.0.3", "paths": {path: {"get": {"operationId": "op", "parameters": [p]}}}}))["op"]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(raw).alias("raw"))
+        decode = contract().decode_path if where == "path" else contract().decode_query
+        return rows.select("p_partkey", decode(F.col("raw"))["value"].alias("value"))
+
+    run.__doc__ = f"The wire cell {name[4:].replace('_', ' ')}, on values of part."
+    QUERIES[name] = run
+    SQL[name] = f"SELECT p_partkey, concat('{{\"p\":', {value}, '}}') AS value FROM part"
+
+
+for _name in CELLS:
+    _cell(_name)
+
+
+@query("v11_integer_formats", "SELECT o_orderkey, o_orderkey * 100000 BETWEEN -2147483648 AND 2147483647 AS ok FROM orders")
+def integer_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The format int32 on large whole numbers, from raw JSON."""
+    schema = Schema("#", number_format="int32")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 100000).cast("string").alias("j"))
+    return rows.select("o_orderkey", (F.size(columns.body_errors(schema)(F.col("j"))) == 0).alias("ok"))
+
+
+@query("v18_property_counts", "SELECT event_id, event_id % 4 > 2 AS over, event_id % 4 < 1 AS under FROM events")
+def property_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """minProperties and maxProperties on objects of 0 to 3 members."""
+    from ..functions.exact import Num
+
+    schema = Schema("#", min_properties=Num.of(1), max_properties=Num.of(2))
+    members = F.array_join(F.slice(F.array(*[F.lit(f'"m{i}":0') for i in range(3)]), 1, (F.col("event_id") % 4).cast("int")), ",")
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("{"), members, F.lit("}")).alias("j"))
+    words = F.transform(columns.body_errors(schema)(F.col("j")), lambda e: e["keyword"])
+    return rows.select("event_id", F.array_contains(words, "maxProperties").alias("over"), F.array_contains(words, "minProperties").alias("under"))
+
+
+@query("j06_group_by_hash", "SELECT sha256('{\"k\":' || (props->>'$.k') || '}') AS hash, count(*) AS n FROM events GROUP BY 1")
+def by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents counted by the hash of their canonical text."""
+    rows = table(spark, sf_dir, "events").select(columns.json_hash(F.col("props")).alias("hash"))
+    return rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j11_multiple_of", "SELECT o_orderkey, CAST(CAST(o_totalprice AS VARCHAR) AS DECIMAL(38,12)) % 0.25 = 0 AS ok FROM orders")
+def exact_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact divisibility of raw JSON numbers."""
+    from ..functions.exact import Num
+
+    schema = Schema("#", multiple_of=Num.parse("0.25"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("j"))
+    return rows.select("o_orderkey", (F.size(columns.body_errors(schema)(F.col("j"))) == 0).alias("ok"))
