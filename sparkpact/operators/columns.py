@@ -15,9 +15,9 @@ from ..plans.schema import Schema
 from .evaluate import check_text
 
 ERROR = "struct<instance_pointer:string,schema_pointer:string,keyword:string,reason:string>"
-#: A value's place; order is that of evaluation. text is a string's own text, others' canonical text.
+#: A value's place; order is that of evaluation. names: an object's members. text is a string's own text, others' canonical text.
 NODE = (
-    "struct<ord:int,template:string,pointer:string,parent:string,name:string,idx:int,kind:string,size:int,text:string,"
+    "struct<ord:int,template:string,pointer:string,parent:string,name:string,idx:int,kind:string,size:int,names:array<string>,text:string,"
     "num_neg:boolean,num_mag:bigint,num_digits:string,num_exp:bigint>"
 )
 _ERRORS = pa.list_(pa.struct([(n, pa.string()) for n in ("instance_pointer", "schema_pointer", "keyword", "reason")]))
@@ -33,7 +33,7 @@ _NODES = pa.struct(
                 pa.struct(
                     [
                         ("ord", pa.int32()), ("template", pa.string()), ("pointer", pa.string()), ("parent", pa.string()), ("name", pa.string()),
-                        ("idx", pa.int32()), ("kind", pa.string()), ("size", pa.int32()), ("text", pa.string()),
+                        ("idx", pa.int32()), ("kind", pa.string()), ("size", pa.int32()), ("names", pa.list_(pa.string())), ("text", pa.string()),
                         ("num_neg", pa.bool_()), ("num_mag", pa.int64()), ("num_digits", pa.string()), ("num_exp", pa.int64()),
                     ]
                 )
@@ -105,14 +105,16 @@ def strict(value: str | bytes | None) -> dict | None:
         return {"error": str(e), "canonical": None, "hash": None, "nodes": None}
     text = canonical(v)
     rows = []
-    children: dict[str, int] = {}
+    children: dict[str, list] = {}
     flat = flatten(v)
     for n in flat:
         if n.parent is not None:
-            children[n.parent] = children.get(n.parent, 0) + 1
+            children.setdefault(n.parent, []).append(n.name)
     for i, n in enumerate(flat):
         row = {"ord": i, "template": n.template, "pointer": n.pointer, "parent": n.parent, "name": n.name, "idx": n.index, "kind": n.kind, "text": n.text}
-        row["size"] = children.get(n.pointer, 0) if n.kind in ("array", "object") else None
+        if n.kind in ("array", "object"):
+            own = children.get(n.pointer, [])
+            row |= {"size": len(own), "names": own if n.kind == "object" else None}
         rows.append(row | (_number(Num.parse(n.text)) if n.kind == "number" else {}))
     return {"error": None, "canonical": text, "hash": digest(v), "nodes": rows}
 

@@ -86,8 +86,8 @@ def _less(neg: Column, mag: Column, digits: Column, rneg: Column, rmag: Column,
 def violations(nodes: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """keys, pointer, schema_pointer, keyword: all failures of a node table, rules without patterns and formats.
 
-    One broadcast join with the rules, of the contract's size, and one anti join for
-    required members, on the nodes' own keys.
+    One broadcast join with the rules, of the contract's size; no shuffle. Members that are missing
+    or undeclared are those by which an object's names and a rule's differ.
     """
     both = nodes.join(F.broadcast(rules.withColumnsRenamed({"num_neg": "rneg", "num_mag": "rmag", "num_digits": "rdigits"})), "template")
     number = F.col("kind") == "number"
@@ -112,15 +112,14 @@ def violations(nodes: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame
         .otherwise(F.lit(False))
     )
     word = F.when((k == "minimum") & F.col("exclusive"), "exclusiveMinimum").when((k == "maximum") & F.col("exclusive"), "exclusiveMaximum").otherwise(k)
-    local = both.filter(broken).select(*keys, "pointer", "schema_pointer", word.alias("keyword"))
-    names = nodes.filter("name is not null").select(*keys, F.col("parent").alias("pointer"), F.col("name").alias("child"))
-    wanted = both.filter((k == "required") & (F.col("kind") == "object")).select(*keys, "pointer", "schema_pointer", "child")
-    missing = wanted.join(names, [*keys, "pointer", "child"], "left_anti")
-    missing = missing.select(*keys, F.concat("pointer", F.lit("/"), _token(F.col("child"))).alias("pointer"), "schema_pointer", F.lit("required").alias("keyword"))
-    closed = both.filter((k == "additionalProperties") & (F.col("kind") == "object")).select(*keys, "pointer", "schema_pointer", "members")
-    extra = closed.join(names, [*keys, "pointer"]).filter(~F.array_contains("members", F.col("child")))
-    extra = extra.select(*keys, F.concat("pointer", F.lit("/"), _token(F.col("child"))).alias("pointer"), "schema_pointer", F.lit("additionalProperties").alias("keyword"))
-    return local.unionByName(missing).unionByName(extra)
+    below = lambda names: F.transform(names, lambda n: F.concat("pointer", F.lit("/"), _token(n)))
+    is_object = F.col("kind") == "object"
+    places = (
+        F.when((k == "required") & is_object, below(F.array_except(F.array("child"), "names")))
+        .when((k == "additionalProperties") & is_object, below(F.array_except("names", F.coalesce("members", F.array().cast("array<string>")))))
+        .when(broken, F.array("pointer"))
+    )
+    return both.select(*keys, F.explode(places).alias("pointer"), "schema_pointer", word.alias("keyword"))
 
 
 def _token(name: Column) -> Column:
