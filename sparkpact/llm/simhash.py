@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 from .components import connected_components
 from .exact_dedup import without_rows
-from .shared import KEY, drop, materialize, with_row_key
+from .shared import KEY, materialize, with_row_key
 from .textops import BLOCK_BYTES, Words, blocks, byte_sizes, words, xxh64
 
 RADIUS = 3
