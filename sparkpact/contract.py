@@ -13,7 +13,7 @@ from .functions.exact import Num, canonical, parse
 from .functions.patterns import compile_pattern
 from .operators import columns, typed
 from .operators.evaluate import Violation, check_text
-from .plans.schema import Compiler, Schema
+from .plans.schema import Compiler, Schema, check_compiled
 from .plans.wire import PathDecoder, QueryDecoder, Wire, decoders
 from .sources.document import ContractError, Document
 
@@ -130,6 +130,7 @@ class Contract:
                     v = Num.parse(v["number"])
                 setattr(s, name, v)
             nodes.append(s)
+        check_compiled(nodes)
 
         def wire(raw: dict) -> Wire:
             own = dict(raw, schema=nodes[raw["schema"]], branches=[wire(b) for b in raw["branches"]], default=parse(raw["default"]))
@@ -172,6 +173,7 @@ def compile_contract(text: str | bytes, reject_non_ascii: bool = False, use_nati
         if op.body is not None:
             request.body = compiler.compile(op.body)
         request.query, request.path = decoders(document, op, compiler)
+        check_compiled(list(compiler.done.values()))
         out[name] = request
     return Contract(out)
 

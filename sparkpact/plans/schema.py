@@ -208,3 +208,43 @@ def is_type(value: Any, name: str) -> bool:
     if name == "integer":
         return kind == "number" and value.is_integer()
     return kind == name
+
+
+def check_compiled(roots: list[Schema]) -> None:
+    """Refuses graphs that no compilation gives, such as edited saved contracts: each shared schema is looked at once."""
+    done: set[int] = set()
+    active: set[int] = set()
+
+    def fail(s: Schema, what: str) -> ContractError:
+        return ContractError(s.pointer or "#", f"inconsistent compiled schema: {what}")
+
+    def see(s: Schema) -> None:
+        if id(s) in active:
+            raise fail(s, "it contains itself")
+        if id(s) in done:
+            return
+        active.add(id(s))
+        if s.type and s.type not in TYPES or s.nullable and not s.type:
+            raise fail(s, "type")
+        if list(s.members) != [canonical(v) for v in s.enum]:
+            raise fail(s, "enum")
+        if s.exclusive_minimum and s.minimum is None or s.exclusive_maximum and s.maximum is None:
+            raise fail(s, "an exclusive bound without a bound")
+        if s.multiple_of is not None and s.multiple_of <= Num.of(0):
+            raise fail(s, "multipleOf")
+        for n in (s.min_length, s.max_length, s.min_items, s.max_items, s.min_properties, s.max_properties):
+            if n is not None and (not n.is_integer() or n.sign):
+                raise fail(s, "a count")
+        if s.number_format not in ("", *NUMERIC) or s.string_format not in ("", *STRING, *INERT):
+            raise fail(s, "format")
+        if s.required != sorted(set(s.required), key=str.encode) or list(s.properties) != sorted(s.properties, key=str.encode):
+            raise fail(s, "names out of order")
+        if s.closed and s.additional is not None:
+            raise fail(s, "closed and open")
+        for c in s.children():
+            see(c)
+        active.discard(id(s))
+        done.add(id(s))
+
+    for s in roots:
+        see(s)

@@ -276,3 +276,11 @@ def test_path_order_is_the_template_s():
     ps = [{"name": n, "in": "path", "required": True, "schema": S} for n in ("b", "a")]
     doc = {"openapi": "3.0.3", "paths": {"/{a}-{b}": {"get": {"operationId": "op", "parameters": ps}}}}
     assert compile_contract(json.dumps(doc))["op"].path.decode("/x-y-z") == '{"a":"x","b":"y-z"}'
+
+
+@pytest.mark.parametrize("change", [{"required": ["b", "a"]}, {"nullable": True, "type": ""}, {"multiple_of": {"number": "0"}}, {"string_format": "host"}, {"enum": ["1.0"]}, {"min_items": {"number": "-1"}}])
+def test_edited_contract_is_refused(change):
+    data = json.loads(body_contract({"type": "object", "required": ["a"]}).to_json())
+    data["schemas"][0] |= change
+    with pytest.raises(ContractError):
+        Contract.from_json(json.dumps(data))
