@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..cluster import ship
-from .shared import KEY, bitmap, drop, in_bitmap, materialize, split_by_keys, with_row_key
+from .shared import KEY, bitmap, in_bitmap, materialize, split_by_keys, with_row_key
 from .textops import blocks, byte_sizes, mixed, words, xxh64
 
 WINDOW, PREFIX = 35, 8
-#: Occurrences of a prefix that one task's subtree may hold.
-HOT = 1000
+#: Occurrences of a prefix that one task's subtree may hold: about 40 MB of contexts.
+HOT = 1 << 15
 #: Contexts whose subtrees grow together.
 CHUNK = 1 << 14
 #: Words of an edge of the subtrees.
