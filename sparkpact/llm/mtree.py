@@ -32,7 +32,7 @@ from ..cluster import ship
 from .shared import materialize
 
 #: Rows of a subtree, rows of a page, pivots at most, and queries that search a subtree together.
-PART, PAGE, PIVOTS, BLOCK = 2048, 64, 1024, 1024
+PART, PAGE, PIVOTS, BLOCK = 2048, 256, 1024, 1024
 #: Below this, sums of products are exact in doubles.
 _EXACT = 2.0**52
 _LONG = 2**63
@@ -61,19 +61,24 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """The pages of an M-tree over the rows of x, built from above by dealing rows to pivots."""
+    """The pages of an M-tree over the rows of x, built from above by dealing rows to pivots.
+
+    x: lifted rows, all of one norm. A page holds its entries' vectors side by side.
+    """
 
     def __init__(self, x: np.ndarray, page: int = PAGE):
         self.x, self.page = x, page
-        #: leaves: (rows, distances to the page's pivot); routing pages: (pivot rows, radii, distances to the page's pivot, children)
+        self.square = float((x[0] * x[0]).sum()) if len(x) else 0.0
+        #: leaves: (vectors, distances to the page's pivot, rows)
+        #: routing pages: (vectors of pivots, distances to the page's pivot, covering radii, children)
         self.pages: list[tuple] = []
         self.root = self._build(np.arange(len(x)), None)
 
     def _build(self, rows: np.ndarray, pivot: int | None) -> int:
         x = self.x
-        to_parent = _distances(x[rows], x[pivot]) if pivot is not None else np.zeros(len(rows))
         if len(rows) <= self.page:
-            self.pages.append((True, rows, to_parent))
+            to_parent = _distances(x[rows], x[pivot]) if pivot is not None else np.zeros(len(rows))
+            self.pages.append((np.ascontiguousarray(x[rows, :-1]), to_parent, rows))
             return len(self.pages) - 1
         fan = min(self.page, math.ceil(len(rows) / self.page) + 1)
         pivots = rows[np.linspace(0, len(rows) - 1, fan).astype(int)]
@@ -83,63 +88,64 @@ class Tree:
             d = _distances(x[rows], x[p])
             better = d < near
             near[better], own[better] = d[better], k
-        groups = [np.flatnonzero(own == k) for k in range(fan)]
         entries = []
-        for p, g in zip(pivots, groups, strict=True):
+        for k, p in enumerate(pivots):
+            g = np.flatnonzero(own == k)
             if not len(g):
                 continue
             # rows that no pivot parts (equal rows, say) are parted by position
             parts = np.array_split(g, math.ceil(len(g) / self.page)) if len(g) == len(rows) else [g]
-            for part in parts:
-                child = self._build(rows[part], p)
-                entries.append((p, near[part].max(), child))
+            entries += [(p, near[part].max(), self._build(rows[part], p)) for part in parts]
         chosen = np.array([e[0] for e in entries])
         to_parent = _distances(x[chosen], x[pivot]) if pivot is not None else np.zeros(len(entries))
-        self.pages.append((False, chosen, np.array([e[1] for e in entries]), to_parent, [e[2] for e in entries]))
+        radii = np.array([e[1] for e in entries])
+        self.pages.append((np.ascontiguousarray(x[chosen, :-1]), to_parent, radii, [e[2] for e in entries]))
         return len(self.pages) - 1
 
     def search(self, q: np.ndarray, k: int, bound: float, skip: int | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """(rows, distances) of at least the k nearest rows within bound, ties at the k-th included; distances computed."""
-        slack = 1e-7 * (1.0 + np.abs(q).sum())
-        best: list[float] = []  # the k smallest distances, negated
-        rows_out, dist_out, computed = [], [], 0
+        """(rows, distances) of at least the k nearest rows to the query q (not lifted) within bound, and how many
+        distances were computed. Ties at the k-th are included; row `skip` is not.
+        """
+        base = self.square + float((q * q).sum())
+        slack = 2e-6 * (1.0 + math.sqrt(base))
+        best = np.zeros(0)
+        rows_out, dist_out, computed = [np.zeros(0, np.int64)], [np.zeros(0)], 0
         queue = [(0.0, self.root, math.nan)]
         while queue:
             least, at, to_pivot = heapq.heappop(queue)
             if least > bound + slack:
                 break
-            page = self.pages[at]
-            if page[0]:
-                _, rows, stored = page
-                if not math.isnan(to_pivot):
-                    rows = rows[np.abs(stored - to_pivot) <= bound + slack]
-                if skip is not None:
-                    rows = rows[rows != skip]
-                d = _distances(self.x[rows], q)
-                computed += len(rows)
+            vectors, stored, *rest = self.pages[at]
+            leaf = len(rest) == 1
+            ok = None
+            if to_pivot == to_pivot:
+                # |d(entry, pivot) - d(q, pivot)| bounds d(entry, q) from below
+                low = np.abs(stored - to_pivot)
+                ok = np.flatnonzero(low <= (bound if leaf else rest[0] + bound) + slack)
+                if 2 * len(ok) < len(stored):
+                    vectors = vectors[ok]
+                else:
+                    ok = None
+            d = np.sqrt(np.maximum(base - 2.0 * (vectors @ q), 0.0))
+            computed += len(d)
+            if leaf:
+                rows = rest[0] if ok is None else rest[0][ok]
                 near = d <= bound + slack
+                if skip is not None:
+                    near &= rows != skip
+                d = d[near]
                 rows_out.append(rows[near])
-                dist_out.append(d[near])
-                for v in np.sort(d[near])[:k]:
-                    if len(best) < k:
-                        heapq.heappush(best, -v)
-                    elif v < -best[0]:
-                        heapq.heapreplace(best, -v)
+                dist_out.append(d)
+                best = np.sort(np.concatenate([best, d]))[:k]
                 if len(best) == k:
-                    bound = min(bound, -best[0])
+                    bound = min(bound, float(best[-1]))
             else:
-                _, pivots, radii, stored, children = page
-                ok = np.arange(len(pivots))
-                if not math.isnan(to_pivot):
-                    ok = ok[np.abs(stored - to_pivot) <= radii + bound + slack]
-                d = _distances(self.x[pivots[ok]], q)
-                computed += len(ok)
-                for j, v in zip(ok.tolist(), d.tolist(), strict=True):
+                radii, children = rest
+                for j, v in zip(range(len(radii)) if ok is None else ok.tolist(), d.tolist(), strict=True):
                     low = max(0.0, v - radii[j])
                     if low <= bound + slack:
                         heapq.heappush(queue, (low, children[j], v))
-        rows = np.concatenate([np.zeros(0, np.int64), *rows_out])
-        dist = np.concatenate([np.zeros(0), *dist_out])
+        rows, dist = np.concatenate(rows_out), np.concatenate(dist_out)
         near = dist <= bound + slack
         return rows[near], dist[near], computed
 
@@ -161,7 +167,7 @@ def _search_part(k: int):
             seat = {key: i for i, key in enumerate(rows["place"].tolist())}
             for q, qid, place, bound in zip(queries["v"], queries["id"], queries["place"], queries["bound"], strict=True):
                 q = np.asarray(q, np.float64)
-                hit, _, _ = tree.search(np.append(q, 0.0), k, bound, seat.get(place))
+                hit, _, _ = tree.search(q, k, bound, seat.get(place))
                 score = dots(raw[hit], q[None])[:, 0]
                 order = np.lexsort((hit, -score))[:k]  # rows stand by id
                 out += [(qid, place, int(ids[hit[i]]), int(score[i])) for i in order]

@@ -26,7 +26,7 @@ def test_tree_finds_the_nearest(shape):
     tree = Tree(lifted(x, most), page=16)
     computed = 0
     for q in range(0, 700, 50):
-        hit, _, n = tree.search(np.append(x[q], 0.0), 5, np.inf, q)
+        hit, _, n = tree.search(x[q], 5, np.inf, q)
         computed += n
         score = dots(x, x[q][None])[:, 0]
         best = np.sort(np.delete(score, q))[::-1][:5]
