@@ -24,9 +24,9 @@ from ..cluster import ship
 from .textops import blocks, byte_sizes
 
 #: Bytes of text that share a table of chunks.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Chunks that a worker remembers between batches, and how long they may be.
-REMEMBERED, LONGEST_REMEMBERED = 1 << 17, 48
+REMEMBERED, LONGEST_REMEMBERED = 1 << 16, 48
 MARKER = "▁"
 _CHUNK = re.compile(" *[^ ]+| +")
 
