@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from sparkpact.llm.exact_dedup import drop_copies
 from sparkpact.llm.language_id import keep_identified
 from sparkpact.llm.mixing import mixed_documents
+from sparkpact.llm.near_copies import drop_similar
 from sparkpact.llm.pieces import piece_digests
 from sparkpact.llm.shared import materialize
-from sparkpact.llm.simhash import drop_near_copies
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near fingerprints link, keeps that of the smallest doc_id."""
-    return drop_near_copies(docs)
+    """Of documents that a five-word similarity of 0.8 links, keeps that of the smallest doc_id."""
+    return drop_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ emits links to its components' first members, not its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -264,9 +264,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = with_row_key(docs).select(*KEY, F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1])
     prints = materialize(own.mapInArrow(lambda b: _fingerprint_batches(b, shingle), f"{fields}, _fp long"), "sim-prints")
+    return members(prints, fingerprint_links)
+
+
+def members(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """prints with component_id and kept; links gives links (a, b) between their distinct fingerprints (fp)."""
     first = F.min(F.struct(F.col("_id").isNull(), "_id", *KEY)).alias("rep")
     fps = materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(first), "sim-distinct")
-    labels = materialize(connected_components(fingerprint_links(fps.select("fp")), "a", "b"), "sim-labels")
+    labels = materialize(connected_components(links(fps.select("fp")), "a", "b"), "sim-labels")
     by_label = labels.join(fps, labels["node"] == fps["fp"]).groupBy("label").agg(F.min("rep").alias("rep"))
     by_label = materialize(by_label, "sim-components")
     whole = materialize(labels.join(by_label, "label").select("node", F.col("rep").alias("_whole")), "sim-members")
