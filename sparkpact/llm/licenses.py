@@ -1,9 +1,10 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, by lines and also by paragraphs (so that wrapped sentences
-are found too; the cut that knows more sentences counts, by lines if both know as many).
-Sentences are normalised: lower case, and one blank for whatever is no letter or digit.
-Known sentences become identifiers, others are passed over. Rules are ordered sequences
+A text is cut into sentences at punctuation and paragraphs; single line breaks may end a
+sentence or stand inside it, so that a known sentence is found on its own lines and also
+wrapped, wherever in the text. Sentences are normalised: lower case, and one blank for
+whatever is no letter or digit. Known sentences become identifiers, others are passed over;
+one with a break inside is known by its first part. Rules are ordered sequences
 of identifiers; where several fit, the longest does, and matches don't overlap.
 
 All of it is one projection without a shuffle. Texts without any word of TRIGGERS, one of
@@ -69,6 +70,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Where a sentence ends; a paragraph's single line breaks are blanks.
 BREAK = r"[.!?;:]+[ \t]+|[\r\n]+"
 WRAP = r"([^\r\n])\r?\n([^\r\n])"
+SINGLE = r"(?<![\r\n])\r?\n(?![\r\n])"
+# Marks of sentence ends and of single line breaks; lowered texts have no upper case.
+END, LINE = "E", "L"
 
 
 def normal(sentence: str) -> str:
@@ -86,20 +90,28 @@ def _rules() -> list[tuple[str, str]]:
     return sorted([("".join(number[s] for s in rule), name) for name, rule in RULES], key=lambda r: -len(r[0]))
 
 
-def license_columns(text: Column) -> dict[str, Column]:
-    known, rules = _known(), _rules()
-    ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+def marked(text: Column) -> Column:
+    """The words of a text, with END between sentences and LINE at line breaks inside them."""
+    t = F.translate(text, UPPER, LOWER)
+    for pattern, mark in (
+        (SINGLE, LINE),
+        (rf"[.!?;:]+[ \t{LINE}]+|[\r\n]+", END),
+        (f"[^a-z0-9{LINE}{END}]+", " "),
+        (f" ?{LINE}[ {LINE}]*", LINE),
+        (f"[ {LINE}]?{END}[ {LINE}{END}]*", END),
+        (f"^[ {LINE}{END}]*|[ {LINE}{END}]*$", END),
+    ):
+        t = F.regexp_replace(t, pattern, mark)
+    return t
 
-    def sequence(t: Column) -> Column:
-        def one(s: Column) -> Column:
-            return F.coalesce(ids[F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " "))], F.lit(""))
 
-        return F.array_join(F.transform(F.split(t, BREAK), one), "")
-
-    lines = sequence(text)
-    # twice, as matches of neighbouring breaks share a character
-    wrapped = sequence(F.regexp_replace(F.regexp_replace(text, WRAP, "$1 $2"), WRAP, "$1 $2"))
-    found = F.when(F.length(wrapped) > F.length(lines), wrapped).otherwise(lines)
+def license_columns(text: Column) -> dict[str, Column]:
+    whole, rules = _known(), _rules()
+    ids = F.create_map(*[F.lit(x) for pair in whole.items() for x in pair])
+    # a sentence may start and end at any line; the longest first
+    known = "|".join(s.replace(" ", f"[ {LINE}]") for s in sorted(whole, key=len, reverse=True))
+    sentences = F.regexp_extract_all(marked(text), F.lit(f"[{LINE}{END}]({known})(?=[{LINE}{END}])"), F.lit(1))
+    found = F.array_join(F.transform(sentences, lambda s: ids[F.translate(s, LINE, " ")]), "")
     seq = F.when(text.rlike(f"(?i){TRIGGERS}"), found).otherwise(F.lit(""))
     names = F.create_map(*[F.lit(x) for pair in rules for x in pair])
     pattern = "|".join(r for r, _ in rules)

@@ -49,3 +49,19 @@ def test_query(spark, sf_dir):
     from sparkpact.llm.entries import ORACLE_SQL
 
     agree(op8_license_scan(spark, sf_dir), ORACLE_SQL["op8_license_scan"], sf_dir)
+
+
+def scanned(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    return [(r["n_known"], r["licenses"], r["n_unmatched"]) for r in license_scan(df).orderBy("k").collect()]
+
+
+def test_each_licence_is_found_by_lines_or_wrapped(spark):
+    header = "Copyright 2020 X\n" + SENTENCES["apache_header"] + "\n" + SENTENCES["apache_use"]
+    wrapped = re.sub(r"(.{40}\S*) ", r"\1\n", MIT)
+    line = "A title\nReleased under the MIT License.\n"
+    cut = header.replace("except in", "except\nin")  # the header by lines, its second sentence wrapped
+    bsd = re.sub(r"(.{40}\S*) ", r"\1\n", BSD2)
+    assert scanned(spark, [header + "\n\n" + wrapped, wrapped + "\n\n" + header, line + "\n" + bsd, cut]) == [
+        (5, "Apache-2.0,MIT", 0), (5, "Apache-2.0,MIT", 0), (4, "BSD-2-Clause,MIT", 0), (2, "Apache-2.0", 0),
+    ]
