@@ -4,7 +4,7 @@ A text is cut into sentences at punctuation and paragraphs; single line breaks m
 sentence or stand inside it, so that a known sentence is found on its own lines and also
 wrapped, wherever in the text. Sentences are normalised: lower case, and one blank for
 whatever is no letter or digit. Known sentences become identifiers, others are passed over;
-one with a break inside is known by its first part. Rules are ordered sequences
+one with a break inside is known by all of its parts in a row. Rules are ordered sequences
 of identifiers; where several fit, the longest does, and matches don't overlap.
 
 All of it is one projection without a shuffle. Texts without any word of TRIGGERS, one of
@@ -80,10 +80,15 @@ def normal(sentence: str) -> str:
 
 
 def _known() -> dict[str, str]:
-    """normalised sentence -> its identifier. A sentence with a break inside is known by its first part."""
+    """normalised sentence -> its identifier, for the SQL: there a sentence with a break inside is known by its first part."""
     return {normal(re.split(BREAK, s)[0]): f"s{i:02d};" for i, s in enumerate(SENTENCES.values())}
 
 
+def _whole() -> dict[str, str]:
+    """sentence, its parts normalised and joined by END -> its identifier."""
+    return {END.join(normal(part) for part in re.split(BREAK, s)): f"s{i:02d};" for i, s in enumerate(SENTENCES.values())}
+
+
 def _rules() -> list[tuple[str, str]]:
     """(sequence, licence), the longest first."""
     number = {name: f"s{i:02d};" for i, name in enumerate(SENTENCES)}
@@ -106,7 +111,7 @@ def marked(text: Column) -> Column:
 
 
 def license_columns(text: Column) -> dict[str, Column]:
-    whole, rules = _known(), _rules()
+    whole, rules = _whole(), _rules()
     ids = F.create_map(*[F.lit(x) for pair in whole.items() for x in pair])
     # a sentence may start and end at any line; the longest first
     known = "|".join(s.replace(" ", f"[ {LINE}]") for s in sorted(whole, key=len, reverse=True))

@@ -51,11 +51,25 @@ def test_query(spark, sf_dir):
     agree(op8_license_scan(spark, sf_dir), ORACLE_SQL["op8_license_scan"], sf_dir)
 
 
+GPL2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+
+
 def scanned(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     return [(r["n_known"], r["licenses"], r["n_unmatched"]) for r in license_scan(df).orderBy("k").collect()]
 
 
+def test_sentences_with_breaks_are_compared_whole(spark):
+    gpl3, mpl = SENTENCES["gpl_free"], SENTENCES["mpl_terms"]
+    wrap = lambda t: re.sub(r"(.{40}\S*) ", r"\1\n", t)
+    no = [GPL2, wrap(GPL2), gpl3.replace("GNU General", "GNU Lesser General"), gpl3.replace("GNU General", "GNU Affero General"), gpl3.replace("version 3", "version 2")]
+    no += ["This program is free software. It may be redistributed.", mpl.replace("2.0", "1.1"), mpl.replace("v. 2.0", "v. x. 2.0")]
+    assert scanned(spark, no) == [(0, "", 0)] * len(no)
+    yes = [gpl3, wrap(gpl3), gpl3 + " " + SENTENCES["gpl_received"], gpl3.replace("software: ", "software:\r\n")]
+    assert scanned(spark, yes) == [(1, "GPL-3.0", 0), (1, "GPL-3.0", 0), (2, "GPL-3.0", 0), (1, "GPL-3.0", 0)]
+    assert scanned(spark, [mpl, mpl.replace("v. ", "v.\n"), mpl + " If a copy"]) == [(1, "MPL-2.0", 0)] * 3
+
+
 def test_each_licence_is_found_by_lines_or_wrapped(spark):
     header = "Copyright 2020 X\n" + SENTENCES["apache_header"] + "\n" + SENTENCES["apache_use"]
     wrapped = re.sub(r"(.{40}\S*) ", r"\1\n", MIT)
