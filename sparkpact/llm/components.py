@@ -1,7 +1,7 @@
 """Connected components by alternating large and small stars.
 
 Every step is a minimum by node (combined before the shuffle) and a join with that
-minimum's written table, so that a hub's links can be split over tasks.
+minimum's written table, in which a hub's row is broadcast: its links need not meet in one task.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop, materialize
+from .shared import drop, join_counted, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,11 +24,12 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = _mark(e)
     while mark[0]:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-min")
-        up = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        n = F.count(F.lit(1)).alias("n")
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), n).select("u", F.least("u", "m").alias("m"), "n"), "cc-min")
+        up = join_counted(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         up = materialize(up, "cc-large")
-        least2 = materialize(up.groupBy("hi").agg(F.min("lo").alias("m")), "cc-min")
-        down = up.join(least2, "hi").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        least2 = materialize(up.groupBy("hi").agg(F.min("lo").alias("m"), n), "cc-min")
+        down = join_counted(up, least2, "hi", "n").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         new = materialize(down.unionByName(least2.select("hi", F.col("m").alias("lo"))).distinct(), "cc-edges")
         for old in (e, least, up, least2):
             drop(old)

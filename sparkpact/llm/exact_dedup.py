@@ -13,12 +13,14 @@ than others.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import KEY, drop, drop_path, materialize, new_path, split_by_keys, with_row_key
+from .shared import KEY, Flat, column, drop, drop_path, join_counted, keyed, materialize, new_path, split_by_keys, tables
 
 #: Most bytes of the spool that one micro-batch takes.
 BATCH_BYTES = 1 << 30
@@ -28,42 +30,48 @@ def sha256_of(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+#: How the state is kept: in RocksDB on the executors' disks, its changes in the checkpoint.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # many small stores: without this each reserves megabytes for its logs
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # an executor's stores share these megabytes, and a store is closed when its task ends
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "96",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
+
+
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of `spark` and those of STATE; other streams of `spark` keep their own."""
+    own = spark.newSession()
+    for k, v in {**spark.conf.getAll, **STATE}.items():
+        with contextlib.suppress(AnalysisException):  # settings of the whole application can't be set, nor need be
+            own.conf.set(k, v)
+    return own
+
+
 def dedup_state(stream: DataFrame, checkpoint: str) -> DataFrame:
     """Runs `stream` (_digest, _id, _locator) to its present end; returns its state.
 
     The state's columns: _digest, _keep (_id, _locator), _size. A later call with
     the same checkpoint goes on where this one ended, with all that it has kept.
     Of equal digests the largest _id stays (nulls are smallest), then the
-    largest locator.
+    largest locator. The stream should come from a state_session().
     """
     spark = stream.sparkSession
-    put = {
-        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        # many small stores: without this each reserves megabytes for its logs
-        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    }
-    before = {k: spark.conf.get(k, None) for k in put}
     kept = stream.groupBy("_digest").agg(
         F.max(F.struct("_id", "_locator")).alias("_keep"), F.count(F.lit(1)).alias("_size")
     )
-    try:
-        for k, v in put.items():
-            spark.conf.set(k, v)
-        query = (
-            kept.writeStream.outputMode("update")
-            .format("noop")
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    query = (
+        kept.writeStream.outputMode("update")
+        .format("noop")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
     state = spark.read.format("statestore").load(checkpoint)
     fields = state.schema["value"].dataType.names
     # the state's value holds the aggregation's buffers: the kept struct and the count
@@ -81,25 +89,29 @@ def exact_dedup(
     digest: Callable[[Column], Column] = sha256_of,
     batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
-    """One row for each row of docs: the row key, id, digest, keep_id, group_size, kept.
+    """One row for each row of docs: the row key, _id, _digest, keep_id, group_size, kept.
 
-    Texts are equal when identical; a null text counts as empty. Of equal texts the
-    row with the largest id stays, a null id being the smallest; of rows that repeat
-    an id and text too, exactly one stays. An empty table gives an empty result.
-    Further columns of docs, whatever their names, play no part.
+    Texts are equal when identical; a null text counts as empty, however long a text is
+    its whole bytes count. Of equal texts the row with the largest id stays, a null id
+    being the smallest; of rows that repeat an id and text too, exactly one stays. An empty table
+    gives an empty result. Only the id and the text are read; further columns of docs,
+    whatever their names, play no part.
     """
     spark = docs.sparkSession
-    own = with_row_key(docs).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *KEY)
+    own = keyed(docs, _id=column(id_col), _text=F.coalesce(column(text_col), F.lit("")))
     own = own.withColumn("_digest", digest(F.col("_text")))
     spool_path = new_path(spark, "dedup-spool")
     locator = F.struct(*KEY).alias("_locator")
     own.select("_digest", "_id", locator).write.parquet(spool_path)
     spool = spark.read.parquet(spool_path)
     stream = (
-        spark.readStream.schema(spool.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(spool_path)
+        state_session(spark).readStream.schema(spool.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(spool_path)
     )
     checkpoint = new_path(spark, "dedup-state")
-    state = materialize(dedup_state(stream, checkpoint), "dedup-kept")
+    state = dedup_state(stream, checkpoint)
+    path = new_path(spark, "dedup-kept")
+    state.write.parquet(path)
+    state = spark.read.parquet(path)
     drop_path(spark, checkpoint)
 
     hits, _ = split_by_keys(own, F.col("_digest"), state.filter("_size > 1").select("_digest"))
@@ -107,7 +119,7 @@ def exact_dedup(
         hits.groupBy("_digest").agg(F.min("_text").alias("_lo"), F.max("_text").alias("_hi")).filter("_lo <> _hi")
     )
     differing = materialize(differing.select("_digest"), "dedup-differing")
-    out = spool.join(state, "_digest").select(
+    out = join_counted(spool, state, "_digest", "_size").select(
         F.col("_locator")[KEY[0]].alias(KEY[0]),
         F.col("_locator")[KEY[1]].alias(KEY[1]),
         "_id",
@@ -136,6 +148,7 @@ def exact_dedup(
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents stay when of equal texts the one with the largest doc_id does."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return exact_dedup(docs).select(
         F.col("_id").alias("doc_id"),
@@ -146,15 +159,17 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup() drops."""
-    gone = exact_dedup(docs).filter("not kept").select(*KEY)
-    return without_rows(docs, gone)
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that exact_dedup() drops; all columns stay as they are, whatever their names."""
+    flat = Flat(docs)
+    with tables(docs.sparkSession):
+        gone = exact_dedup(flat.rows, flat.name(id_col), flat.name(text_col)).filter("not kept")
+        gone = materialize(gone.select(*KEY), "gone", outlives=True)
+    return without_rows(flat, gone)
 
 
-def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the rows whose row keys are in `gone`. Only rows that may be gone are shuffled."""
-    gone = materialize(gone.select(*KEY), "gone")
+def without_rows(flat: Flat, gone: DataFrame) -> DataFrame:
+    """The table but for the rows whose row keys are in `gone`, a written table. Only rows that may be gone are shuffled."""
     key = F.struct(*KEY)
-    maybe, sure = split_by_keys(with_row_key(docs), key, gone.select(key.alias("_k")))
-    return sure.unionByName(maybe.join(gone, [*KEY], "left_anti")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    maybe, sure = split_by_keys(flat.rows, key, gone.select(key.alias("_k")))
+    return flat.restored(sure.unionByName(maybe.join(gone, [*KEY], "left_anti")))

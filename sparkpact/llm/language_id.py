@@ -7,8 +7,8 @@ WINDOW bytes, all of them are scored, and their mean probabilities decide.
 As embedding and convolution are both linear, a filter of width w is a sum of w table
 lookups by byte; for scoring, tables of two neighbouring bytes are laid out once.
 
-Training takes a bounded sample of labelled rows (SAMPLE pieces a language at most, chosen by a
-hash of the text), whatever the size of the table.
+Training takes a bounded sample of labelled rows, whatever the size of the table: of each
+language the SAMPLE distinct texts of the least hashes, or fewer where many languages share TOTAL.
 """
 
 from __future__ import annotations
@@ -20,16 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..cluster import ship
+from .shared import Flat, column, join_counted, workers
 from .textops import blocks, byte_sizes
 
 WINDOW = 192
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 8, 8
-#: Pieces of text that a language gives to training at most, and their characters.
-SAMPLE, PIECE = 1200, 192
-#: Languages at most: the most frequent of the labels.
-LANGUAGES = 256
+#: Pieces of text that a language gives to training at most, that all languages give, and their characters.
+SAMPLE, TOTAL, PIECE = 1200, 200_000, 192
+#: The least score of a text that is taken to be in a language at all.
+LEAST = 0.5
 EPOCHS, RATE, BATCH = 12, 0.01, 64
 UNDETERMINED = "und"
 
@@ -158,23 +159,23 @@ def predict(texts: list[bytes], scorer: Scorer, rows_at_once: int = 512) -> np.n
     return sums / count[:, None]
 
 
-def _predict_batches(net):
+def _predict_batches(net, at_text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(net.value)
         labels = np.array(net.value.labels, object)
         for batch in batches:
-            text, letters = batch.column("_text"), batch.column("_letters").to_numpy(zero_copy_only=False).astype(bool)
+            text, letters = batch.column(at_text).cast(pa.binary()), batch.column(len(batch.columns) - 1)
             name = np.full(len(batch), UNDETERMINED, object)
             score = np.zeros(len(batch))
-            some = text.filter(pa.array(letters))
-            at = np.flatnonzero(letters)
+            some = text.filter(letters)
+            at = np.flatnonzero(letters.to_numpy(zero_copy_only=False))
             for lo, hi in blocks(byte_sizes(some)):
                 prob = predict(some.slice(lo, hi - lo).to_pylist(), scorer)
                 best = prob.argmax(axis=1)
                 name[at[lo:hi]] = labels[best]
                 score[at[lo:hi]] = np.clip(prob[np.arange(len(best)), best], 0, 1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-2], pa.array(name, pa.string()), pa.array(score)], [*batch.schema.names[:-2], "lang_pred", "score"]
+                [*batch.columns[:-1], pa.array(name, pa.string()), pa.array(score)], [*batch.schema.names[:-1], "_lang", "_score"]
             )
 
     return run
@@ -182,56 +183,81 @@ def _predict_batches(net):
 
 def held_out(id_col: str):
     """Rows that are not learnt from: crc32 of the id as text, modulo 4, is 2. A null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    return F.crc32(F.coalesce(column(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Network | None:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, total: int = TOTAL) -> Network | None:
     """A network learnt from a bounded sample of the labelled rows that are not held out; None without such rows.
 
-    The sample's text comes from anywhere in the text: PIECE characters from a place that a hash chooses.
+    Each language gives the `sample` distinct texts of the least hashes, or total / languages of
+    them if that is less; copies of a text count once. The sample's text comes from anywhere in
+    the text: PIECE characters from a place that a hash chooses. Null labels, null texts and texts
+    without a letter teach nothing. Other columns play no part, whatever their names.
     """
-    usable = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), held_out(id_col).alias("_held"))
+    workers(docs.sparkSession)
+    usable = docs.select(column(text_col).cast("string").alias("_text"), column(lang_col).cast("string").alias("_lang"), held_out(id_col).alias("_held"))
     usable = usable.filter("not _held and _lang is not null and _text is not null").filter(F.col("_text").rlike(r"\p{L}"))
-    counts = usable.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
-    if not counts:
+    usable = usable.withColumn("_h", F.pmod(F.xxhash64("_text", F.lit("lang")), F.lit(1 << 40)))
+    counts = usable.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"), F.approx_count_distinct("_h").alias("_texts")).cache()
+    languages = counts.count()
+    if not languages:
         return None
-    # a threshold on a hash thins each language to a little over its share, then the least hashes are taken
-    h = F.pmod(F.xxhash64("_text", F.lit("lang")), F.lit(1 << 40))
-    wanted = F.create_map(*[x for r in counts for x in (F.lit(r["_lang"]), F.lit(int(min(1.0, 1.3 * sample / r["count"]) * (1 << 40))))])
-    place = F.lit(1) + F.pmod(h, F.greatest(F.lit(1), F.length("_text") - PIECE + 1)).cast("int")
-    near = usable.withColumn("_h", h).filter(F.col("_h") <= F.element_at(wanted, F.col("_lang")))
-    rows = near.select("_lang", "_h", F.substring("_text", place, F.lit(PIECE)).alias("_piece"))
-    rows = rows.orderBy("_h", "_lang", "_piece").limit(2 * sample * len(counts)).collect()
+    each = max(1, min(sample, total // languages))
+    # a threshold on the hash thins each language to a little over its share, then the least hashes are taken
+    near = join_counted(usable, counts, "_lang", "_n").filter(F.col("_h") <= F.lit(1.4 * each + 64) / F.col("_texts") * (1 << 40))
+    place = F.lit(1) + F.pmod("_h", F.greatest(F.lit(1), F.length("_text") - PIECE + 1)).cast("int")
+    pieces = near.select("_lang", "_h", F.substring("_text", place, F.lit(PIECE)).alias("_piece")).dropDuplicates(["_lang", "_h"])
+    pieces = pieces.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_h"))).filter(F.col("_rank") <= each)
+    rows = pieces.orderBy("_h", "_lang").limit(total).collect()
+    counts.unpersist()
     rows = [r for r in rows if any(c.isalpha() for c in r["_piece"])]
     return train([r["_piece"].encode() for r in rows], [r["_lang"] for r in rows]) if rows else None
 
 
+def _identified(flat: Flat, net: Network | None, text_col: str) -> DataFrame:
+    """The table's rows with _lang and _score."""
+    own = flat.rows.select(*flat.own)
+    text = F.col(flat.name(text_col))
+    letters = F.coalesce(text.cast("string").rlike(r"\p{L}"), F.lit(False))
+    if net is None:
+        return own.withColumns({"_lang": F.lit(UNDETERMINED), "_score": F.lit(0.0)})
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
+    shared = own.sparkSession.sparkContext.broadcast(net)
+    at = flat.own.index(flat.name(text_col))
+    return own.withColumn("_letters", letters).mapInArrow(_predict_batches(shared, at), f"{fields}, _lang string, _score double")
+
+
 def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score. Texts that are null or have no letter are `und`, with score 0.
 
-    So are all texts if there is no network. Only the text decides. Rows that repeat are
-    predicted alike; an empty table gives an empty result. Columns of docs called
-    lang_pred or score give way.
+    So are all texts if there is no network. Only the text decides, all of it however long: the
+    mean of its windows' probabilities. Rows that repeat are predicted alike; an empty table gives an
+    empty result. Columns of docs called lang_pred or score give way, others stay as they are.
     """
-    ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    own = docs.select(*[F.col(f"`{c}`") for c in rest])
-    if net is None:
-        return own.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    own = own.withColumns({"_text": F.col(text_col).cast("binary"), "_letters": letters})
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-2])
-    shared = docs.sparkSession.sparkContext.broadcast(net)
-    return own.mapInArrow(_predict_batches(shared), f"{fields}, lang_pred string, score double")
+    workers(docs.sparkSession)
+    flat = Flat(docs, keys=False)
+    return flat.restored(_identified(flat, net, text_col), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a network that has not seen the held-out quarter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     own = docs.select("doc_id", held_out("doc_id").alias("held_out"), "text")
     return identify(own, fit(docs)).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without those that are in no language: null texts and texts without a letter."""
-    found = identify(docs, fit(docs))
-    return found.filter(F.col("lang_pred") != UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least: float = LEAST) -> DataFrame:
+    """docs without those that are in no language, or in none of `languages` (None: any that was learnt).
+
+    A document is in no language if its text is null or has no letter, or if the network gives no
+    language a mean probability of `least`. Without a labelled row there is no network, and only
+    the first rule holds. All columns stay as they are, whatever their names.
+    """
+    workers(docs.sparkSession)
+    flat = Flat(docs, keys=False)
+    net = fit(docs)
+    found = _identified(flat, net, "text")
+    if net is None:
+        return flat.restored(found.filter(F.col(flat.name("text")).cast("string").rlike(r"\p{L}")))
+    wanted = F.col("_lang") != UNDETERMINED if languages is None else F.col("_lang").isin(*languages)
+    return flat.restored(found.filter(wanted & (F.col("_score") >= least)))

@@ -1,38 +1,41 @@
-"""Exact top-k by inner product: best-first search in M-trees.
+"""Exact top-k by inner product: best-first search in a paged M-tree.
 
 The largest inner products of a query are the nearest neighbours in a metric space: a
 vector y gets one more coordinate, sqrt(M - |y|^2) with M the largest squared norm, a
 query gets 0 there, and the squared distance is |q|^2 + M - 2 q.y.
 
-The rows are dealt to subtrees by their nearest of a bounded number of pivots, large pivots'
-rows to several, so that a subtree holds PART rows at most or so. A subtree is a table of
-pages: entries of routing pages hold a pivot, its covering radius and its distance to
-the parent's pivot; entries of leaves a vector and its distance to the parent's
-pivot. A query first searches the subtrees of its nearest pivot, which bounds its k-th
-distance; then those others whose ball comes nearer than that. Within a subtree pages wait
-in a queue by the least distance that their ball allows, and an entry's distance is computed
-only if the stored distances and the triangle inequality don't rule it out.
+The index is two tables. `nodes` has the routing entries of the upper levels: a node's
+pivot, its covering radius, and its distance to its parent's pivot. A node with more than
+a shard's rows is split: its rows go to the nearest of a few of its own rows, chosen by hash;
+a vector that is frequent among these gets a child of its own, of radius 0, and rows that
+nothing but their place tells apart are dealt out by place. `pages` has the lower levels of
+each shard, one row a page: routing pages hold pivots, covering radii and distances to the
+page's own pivot, leaves hold vectors and distances to the leaf's pivot.
+
+A query first goes down to the shard of the nearest pivots, whose k-th distance bounds the
+rest. Then it descends once more, level by level, to all shards whose ball comes as near. In
+a shard each query works through its own queue of pages, the nearest ball first; queries that
+have come to the same page are served together. An entry's distance is computed only if the
+stored distances and the triangle inequality don't rule it out.
 
 Distances only prune, with a margin for rounding; scores are exact integers.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..cluster import ship
-from .shared import materialize
+from .shared import KEY, column, join_counted, keyed, materialize, workers
 
-#: Rows of a subtree, rows of a page, pivots at most, and queries that search a subtree together.
-PART, PAGE, PIVOTS, BLOCK = 2048, 256, 1024, 1024
+#: Rows of a shard at most, and its numbers (rows times dimensions); entries of a page; children of a node.
+SHARD, NUMBERS, PAGE, FAN = 8192, 1 << 20, 128, 128
 #: Below this, sums of products are exact in doubles.
 _EXACT = 2.0**52
 _LONG = 2**63
@@ -54,253 +57,400 @@ def lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(rest)[:, None]], axis=1)
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distances of every row of x to the point y."""
-    d = x - y
-    return np.sqrt(np.einsum("ij,ij->i", d, d))
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of x to those of y; the number of entries is that of the result."""
+    square = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None]
+    return np.sqrt(np.maximum(square - 2.0 * (x @ y.T), 0.0))
 
 
 class Tree:
-    """The pages of an M-tree over the rows of x, built from above by dealing rows to pivots.
+    """The pages of a shard, built from above by dealing rows to pivots.
 
-    x: lifted rows, all of one norm. A page holds its entries' vectors side by side.
+    x: lifted rows, all of one norm. A page is (vectors, distances to the page's pivot, covering
+    radii, entries): a leaf's entries are rows, and its radii are none; those of others are pages. Vectors
+    are not lifted: against a query, which has 0 there, the last coordinate plays no part.
     """
 
     def __init__(self, x: np.ndarray, page: int = PAGE):
-        self.x, self.page = x, page
         self.square = float((x[0] * x[0]).sum()) if len(x) else 0.0
-        #: leaves: (vectors, distances to the page's pivot, rows)
-        #: routing pages: (vectors of pivots, distances to the page's pivot, covering radii, children)
-        self.pages: list[tuple] = []
-        self.root = self._build(np.arange(len(x)), None)
+        self.pages: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.x, self.page = x, page
+        #: the root is the last page
+        self._build(np.arange(len(x)), None)
+        del self.x
+
+    @classmethod
+    def stored(cls, pages: list[tuple], square: float) -> Tree:
+        tree = cls.__new__(cls)
+        tree.pages, tree.square = pages, square
+        return tree
+
+    def _put(self, rows: np.ndarray, pivot: int | None, radii: np.ndarray, entries: np.ndarray) -> int:
+        x = self.x
+        stored = distances(x[rows], x[pivot : pivot + 1])[:, 0] if pivot is not None else np.zeros(len(rows))
+        self.pages.append((np.ascontiguousarray(x[rows, :-1]), stored, radii, entries))
+        return len(self.pages) - 1
 
     def _build(self, rows: np.ndarray, pivot: int | None) -> int:
         x = self.x
         if len(rows) <= self.page:
-            to_parent = _distances(x[rows], x[pivot]) if pivot is not None else np.zeros(len(rows))
-            self.pages.append((np.ascontiguousarray(x[rows, :-1]), to_parent, rows))
-            return len(self.pages) - 1
+            return self._put(rows, pivot, np.zeros(0), rows)
         fan = min(self.page, math.ceil(len(rows) / self.page) + 1)
         pivots = rows[np.linspace(0, len(rows) - 1, fan).astype(int)]
         near = np.full(len(rows), np.inf)
         own = np.zeros(len(rows), np.int64)
         for k, p in enumerate(pivots):
-            d = _distances(x[rows], x[p])
+            d = distances(x[rows], x[p : p + 1])[:, 0]
             better = d < near
             near[better], own[better] = d[better], k
-        entries = []
+        chosen, radii, children = [], [], []
         for k, p in enumerate(pivots):
             g = np.flatnonzero(own == k)
-            if not len(g):
-                continue
             # rows that no pivot parts (equal rows, say) are parted by position
-            parts = np.array_split(g, math.ceil(len(g) / self.page)) if len(g) == len(rows) else [g]
-            entries += [(p, near[part].max(), self._build(rows[part], p)) for part in parts]
-        chosen = np.array([e[0] for e in entries])
-        to_parent = _distances(x[chosen], x[pivot]) if pivot is not None else np.zeros(len(entries))
-        radii = np.array([e[1] for e in entries])
-        self.pages.append((np.ascontiguousarray(x[chosen, :-1]), to_parent, radii, [e[2] for e in entries]))
-        return len(self.pages) - 1
-
-    def search(self, q: np.ndarray, k: int, bound: float, skip: int | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """(rows, distances) of at least the k nearest rows to the query q (not lifted) within bound, and how many
-        distances were computed. Ties at the k-th are included; row `skip` is not.
+            for part in np.array_split(g, math.ceil(len(g) / self.page)) if len(g) == len(rows) else [g] if len(g) else []:
+                chosen.append(p)
+                radii.append(near[part].max())
+                children.append(self._build(rows[part], p))
+        return self._put(np.array(chosen), pivot, np.array(radii), np.array(children))
+
+    def search(self, q: np.ndarray, k: int, bound: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """(queries, rows) that are at least the k nearest rows of each query (not lifted) within its bound, ties at the
+        k-th included, but not row skip[i] (-1: none); and how many distances were computed and pages visited.
         """
-        base = self.square + float((q * q).sum())
-        slack = 2e-6 * (1.0 + math.sqrt(base))
-        best = np.zeros(0)
-        rows_out, dist_out, computed = [np.zeros(0, np.int64)], [np.zeros(0)], 0
-        queue = [(0.0, self.root, math.nan)]
-        while queue:
-            least, at, to_pivot = heapq.heappop(queue)
-            if least > bound + slack:
+        base = self.square + (q * q).sum(axis=1)
+        slack = 2e-6 * (1.0 + np.sqrt(base))
+        bound = bound.copy()
+        root = len(self.pages) - 1
+        low = np.full((len(q), len(self.pages)), np.inf)
+        low[:, root] = 0.0
+        to_pivot = np.full(low.shape, np.nan)
+        best = np.full((len(q), k), np.inf)
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        computed = visited = 0
+        everyone = np.arange(len(q))
+        while True:
+            turn = low.argmin(axis=1)
+            least = low[everyone, turn]
+            alive = np.flatnonzero((least < np.inf) & ~(least > bound + slack))
+            if not len(alive):
                 break
-            vectors, stored, *rest = self.pages[at]
-            leaf = len(rest) == 1
-            ok = None
-            if to_pivot == to_pivot:
+            low[alive, turn[alive]] = np.inf
+            visited += len(alive)
+            for page in np.unique(turn[alive]).tolist():
+                who = alive[turn[alive] == page]
+                vectors, stored, radii, entries = self.pages[page]
+                leaf = not len(radii)
                 # |d(entry, pivot) - d(q, pivot)| bounds d(entry, q) from below
-                low = np.abs(stored - to_pivot)
-                ok = np.flatnonzero(low <= (bound if leaf else rest[0] + bound) + slack)
-                if 2 * len(ok) < len(stored):
-                    vectors = vectors[ok]
+                gap = np.abs(stored[None] - to_pivot[who, page][:, None])
+                need = ~(gap > (bound + slack)[who][:, None] + (0.0 if leaf else radii[None]))
+                used = np.flatnonzero(need.any(axis=0))
+                if not len(used):
+                    continue
+                computed += len(who) * len(used)
+                d = np.sqrt(np.maximum(base[who][:, None] - 2.0 * (q[who] @ vectors[used].T), 0.0))
+                d[~need[:, used]] = np.inf
+                if leaf:
+                    d[entries[used][None] == skip[who][:, None]] = np.inf
+                    both = np.concatenate([best[who], d], axis=1)
+                    best[who] = np.partition(both, k - 1, axis=1)[:, :k]
+                    bound[who] = np.minimum(bound[who], best[who].max(axis=1))
+                    i, j = np.nonzero((d < np.inf) & ~(d > (bound + slack)[who][:, None]))
+                    hits.append((who[i], entries[used][j], d[i, j]))
                 else:
-                    ok = None
-            d = np.sqrt(np.maximum(base - 2.0 * (vectors @ q), 0.0))
-            computed += len(d)
-            if leaf:
-                rows = rest[0] if ok is None else rest[0][ok]
-                near = d <= bound + slack
-                if skip is not None:
-                    near &= rows != skip
-                d = d[near]
-                rows_out.append(rows[near])
-                dist_out.append(d)
-                best = np.sort(np.concatenate([best, d]))[:k]
-                if len(best) == k:
-                    bound = min(bound, float(best[-1]))
-            else:
-                radii, children = rest
-                for j, v in zip(range(len(radii)) if ok is None else ok.tolist(), d.tolist(), strict=True):
-                    low = max(0.0, v - radii[j])
-                    if low <= bound + slack:
-                        heapq.heappush(queue, (low, children[j], v))
-        rows, dist = np.concatenate(rows_out), np.concatenate(dist_out)
-        near = dist <= bound + slack
-        return rows[near], dist[near], computed
-
-
-def _matrix(column) -> np.ndarray:
-    rows = [np.asarray(v, np.float64) for v in column]
-    return np.stack(rows) if rows else np.zeros((0, 0))
-
-
-def _search_part(k: int):
-    def search(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        """The k best of a subtree's rows for each query; ties go to smaller ids."""
-        out: list[tuple] = []
-        if len(queries) and len(rows):
-            rows = rows.sort_values("id", kind="stable")
-            ids, raw = rows["id"].to_numpy(), _matrix(rows["v"])
-            most = float(rows["most"].iloc[0])
-            tree = Tree(lifted(raw, most))
-            seat = {key: i for i, key in enumerate(rows["place"].tolist())}
-            for q, qid, place, bound in zip(queries["v"], queries["id"], queries["place"], queries["bound"], strict=True):
-                q = np.asarray(q, np.float64)
-                hit, _, _ = tree.search(q, k, bound, seat.get(place))
-                score = dots(raw[hit], q[None])[:, 0]
-                order = np.lexsort((hit, -score))[:k]  # rows stand by id
-                out += [(qid, place, int(ids[hit[i]]), int(score[i])) for i in order]
-        return pd.DataFrame(out, columns=["query_id", "place", "vec_id", "score"])
+                    children = entries[used]
+                    to_pivot[np.ix_(who, children)] = d
+                    low[np.ix_(who, children)] = np.maximum(d - radii[used][None], 0.0)
+        if not hits:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), computed, visited
+        who, rows, d = (np.concatenate(x) for x in zip(*hits, strict=True))
+        near = ~(d > (bound + slack)[who])
+        return who[near], rows[near], computed, visited
+
+
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    flat = vectors.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1 if len(flat) and len(flat[0]) else 0)
+
+
+def _vectors(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def _number(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.float64)
+
+
+def _pivots(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct vectors of some rows, lifted, in a fixed order, and which of them occur more than once."""
+    if not len(table):
+        raise RuntimeError("a node without pivots: no hash of its rows fell below the threshold")
+    x, count = np.unique(lifted(_matrix(table.column("v")), _number(table, "most")[0]), axis=0, return_counts=True)
+    return x, count > 1
+
+
+def _deal(rows: pa.Table, sample: pa.Table) -> pa.Table:
+    """rows, each at the child of its nearest pivot; those equal to a frequent pivot at a child of their own."""
+    if not len(rows):
+        return rows.drop_columns(["salt"]).append_column("dist", pa.array([], pa.float64()))
+    x = lifted(_matrix(rows.column("v")), _number(rows, "most")[0])
+    pivots, frequent = _pivots(sample)
+    d = distances(x, pivots)
+    first = d.argmin(axis=1)
+    same = frequent[first] & (x == pivots[first]).all(axis=1)
+    child = [f"{i}=" if s else str(i) for i, s in zip(first.tolist(), same.tolist(), strict=True)]
+    node = pc.binary_join_element_wise(rows.column("node"), pa.array(child), ".")
+    out = rows.drop_columns(["salt"]).set_column(0, "node", node)
+    return out.append_column("dist", pa.array(np.where(same, 0.0, d[np.arange(len(x)), first])))
+
+
+def _children(sample: pa.Table) -> pa.Table:
+    """The nodes that _deal() deals to, whether any row comes there or not."""
+    pivots, frequent = _pivots(sample)
+    parent = sample.column("node")[0].as_py()
+    above = sample.column("above")[0].as_py()
+    far = distances(pivots, np.array([above]))[:, 0] if above else np.full(len(pivots), np.nan)
+    at = np.concatenate([np.arange(len(pivots)), np.flatnonzero(frequent)])
+    names = [f"{parent}.{i}" for i in range(len(pivots))] + [f"{parent}.{i}=" for i in at[len(pivots) :].tolist()]
+    return pa.table({"parent": pa.array([parent] * len(at)), "node": names, "pivot": _vectors(pivots[at]), "to_parent": far[at]})
+
+
+_NODE = "parent string, node string, pivot array<double>, to_parent double"
+_ROW = "node string, id long, place string, v array<double>, most double, dist double"
+_PAGE = "node string, page int, n long, square double, vectors binary, stored binary, radii binary, entries binary, ids array<long>, places array<string>"
+
+
+def _pages(rows: pa.Table) -> pa.Table:
+    """The pages of one shard. The last is the root, and it names the shard's rows."""
+    rows = rows.sort_by([("id", "ascending"), ("place", "ascending")])
+    tree = Tree(lifted(_matrix(rows.column("v")), _number(rows, "most")[0]))
+    n = len(tree.pages)
+    last = [None] * (n - 1)
+    return pa.table(
+        {
+            "node": pa.array([rows.column("node")[0].as_py()] * n),
+            "page": pa.array(range(n), pa.int32()),
+            "n": pa.array([len(p[3]) for p in tree.pages], pa.int64()),
+            "square": pa.array([tree.square] * n),
+            **{name: pa.array([np.ascontiguousarray(p[k]).tobytes() for p in tree.pages], pa.binary()) for k, name in enumerate(("vectors", "stored", "radii", "entries"))},
+            "ids": pa.array([*last, rows.column("id").to_pylist()], pa.list_(pa.int64())),
+            "places": pa.array([*last, rows.column("place").to_pylist()], pa.list_(pa.string())),
+        }
+    )
+
+
+_EMPTY = {"query_id": pa.int64(), "place": pa.string(), "vec_id": pa.int64(), "score": pa.int64()}
+
+
+def _search_shard(k: int):
+    def search(queries: pa.Table, pages: pa.Table) -> pa.Table:
+        """The k best of a shard's rows for each query; ties go to smaller ids."""
+        out: dict[str, list] = {name: [] for name in _EMPTY}
+        if len(queries) and len(pages):
+            own = sorted(pages.to_pylist(), key=lambda p: p["page"])
+            floats = lambda p, name: np.frombuffer(p[name], np.float64)
+            read = [(floats(p, "vectors").reshape(p["n"], -1 if p["vectors"] else 0), floats(p, "stored"), floats(p, "radii"), np.frombuffer(p["entries"], np.int64)) for p in own]
+            tree = Tree.stored(read, own[-1]["square"])
+            ids = own[-1]["ids"]
+            seat = {place: i for i, place in enumerate(own[-1]["places"])}
+            q = _matrix(queries.column("v"))
+            skip = np.array([seat.get(p, -1) for p in queries.column("place").to_pylist()])
+            who, rows, _, _ = tree.search(q, k, _number(queries, "bound"), skip)
+            vector = {}
+            for vectors, _, radii, entries in read:
+                if not len(radii):
+                    vector.update(zip(entries.tolist(), vectors, strict=True))
+            order = np.argsort(who, kind="stable")
+            who, rows = who[order], rows[order]
+            edge = np.searchsorted(who, np.arange(len(q) + 1))
+            for i, (qid, place) in enumerate(zip(queries.column("id").to_pylist(), queries.column("place").to_pylist(), strict=True)):
+                hit = rows[edge[i] : edge[i + 1]]
+                if not len(hit):
+                    continue
+                score = dots(np.stack([vector[r] for r in hit.tolist()]), q[i : i + 1])[:, 0]
+                best = np.lexsort((hit, -score))[:k]  # rows stand by id
+                out["query_id"] += [qid] * len(best)
+                out["place"] += [place] * len(best)
+                out["vec_id"] += [ids[i] for i in hit[best].tolist()]
+                out["score"] += score[best].tolist()
+        return pa.table({name: pa.array(v, _EMPTY[name]) for name, v in out.items()})
 
     return search
 
 
-def _nearest(pivots, vectors: str, all_within: bool):
-    """For batches of rows: the nearest pivot of the row's dimension, or all pivots whose balls its bound reaches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            dims = pdf[vectors].map(len)
-            for dim, part in pdf.groupby(dims, sort=False):
-                number, centre, most, radius = pivots.value[dim]
-                x = _matrix(part[vectors])
-                lift = np.concatenate([x, np.zeros((len(x), 1))], axis=1) if "bound" in part else lifted(x, most)
-                d2 = (lift * lift).sum(axis=1)[:, None] + (centre * centre).sum(axis=1)[None] - 2 * lift @ centre.T
-                d = np.sqrt(np.maximum(d2, 0))
-                if all_within:
-                    slack = 1e-6 * (1.0 + np.sqrt(most))
-                    first = d.argmin(axis=1)
-                    reach = d - radius[None] <= part["bound"].to_numpy()[:, None] + slack
-                    reach[np.arange(len(x)), first] = False
-                    i, j = np.nonzero(reach)
-                    out.append(part.iloc[i].assign(pivot=number[j]))
-                else:
-                    first = d.argmin(axis=1)
-                    out.append(part.assign(pivot=number[first], dist=d[np.arange(len(x)), first]))
-            if out:
-                yield pd.concat(out)
-
-    return run
-
-
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, part: int = PART) -> DataFrame:
+def _route(all_within: bool):
+    def route(queries: pa.Table, children: pa.Table) -> pa.Table:
+        """queries at the child of the nearest pivot, or at all children whose balls their bounds reach."""
+        names = ["node", "id", "place", "v", "bound", "dist", "open"]
+        if not len(queries) or not len(children):
+            return queries.select(names).slice(0, 0)
+        children = children.sort_by("child")
+        x = _matrix(queries.column("v"))
+        x = np.concatenate([x, np.zeros((len(x), 1))], axis=1)
+        bound, above = _number(queries, "bound"), _number(queries, "dist")
+        pivots, radius, stored = _matrix(children.column("pivot")), _number(children, "radius"), _number(children, "to_parent")
+        slack = 2e-6 * (1.0 + np.sqrt((x * x).sum(axis=1) + (pivots[0] * pivots[0]).sum()))
+        if all_within:
+            reach = (bound + slack)[:, None] + radius[None]
+            need = ~(np.abs(stored[None] - above[:, None]) > reach)
+            used = np.flatnonzero(need.any(axis=0))
+            d = np.full(need.shape, np.inf)
+            d[:, used] = distances(x, pivots[used])
+            i, j = np.nonzero(need & ~(d > reach))
+        else:
+            d = distances(x, pivots)
+            i, j = np.arange(len(x)), d.argmin(axis=1)
+        out = queries.select(names).take(pa.array(i))
+        out = out.set_column(0, "node", children.column("child").take(pa.array(j)))
+        out = out.set_column(5, "dist", pa.array(d[i, j]))
+        return out.set_column(6, "open", children.column("open").take(pa.array(j)))
+
+    return route
+
+
+def _salted(rows: DataFrame, other: DataFrame, counts: DataFrame, most: Column) -> tuple:
+    """Both sides by (node, salt): a node's rows are dealt to so many groups that each has `most` or so, and other goes to each.
+
+    counts: (node, n, dim).
+    """
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("long")
+    counts = counts.withColumn("salts", salts)
+    left = join_counted(rows, counts.select("node", "n", "salts"), "node", "n").withColumn("salt", F.pmod(F.xxhash64("place", F.lit("salt")), F.col("salts")))
+    right = other.join(counts.select("node", "salts"), "node").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    return left.drop("n", "salts"), right.drop("salts")
+
+
+def _shard_rows(dim: Column) -> Column:
+    return F.greatest(F.lit(64), F.least(F.lit(SHARD), F.floor(NUMBERS / F.greatest(dim, F.lit(1)))))
+
+
+class Index:
+    """The tables of an M-tree over rows (id long, place string, v array<double> of whole numbers); place names a row."""
+
+    def __init__(self, rows: DataFrame, shard_rows=_shard_rows):
+        self.shard_rows = shard_rows
+        square = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
+        dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("most"))
+        self.dims = materialize(dims.select("dim", "n", "most", F.col("dim").cast("string").alias("node")), "mt-dims")
+        own = join_counted(rows.select("id", "place", "v", F.size("v").alias("dim")), self.dims.select("dim", "n", "most"), "dim", "n")
+        own = own.select(F.col("dim").cast("string").alias("node"), "id", "place", "v", "most", F.lit(None).cast("double").alias("dist"))
+        self._split(own)
+
+    def _split(self, rows: DataFrame) -> None:
+        spark = rows.sparkSession
+        above = self.dims.select("node", F.lit(None).cast("array<double>").alias("pivot"))
+        nodes: list[DataFrame] = []
+        done: list[DataFrame] = []
+        while True:
+            counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.max("dist").alias("radius"))
+            counts = materialize(counts.withColumn("open", F.col("n") > self.shard_rows(F.col("dim"))), "mt-counts")
+            if nodes:
+                nodes[-1] = materialize(nodes[-1].join(counts.select("node", "n", "dim", "radius", "open"), "node"), "mt-nodes")
+                above = nodes[-1].select("node", "pivot")
+            marked = join_counted(rows, counts.select("node", "n", "dim", "open"), "node", "n")
+            done.append(marked.filter("not open").select(*rows.columns))
+            large = counts.filter("open")
+            if large.isEmpty():
+                break
+            more = materialize(marked.filter("open"), "mt-open")
+            parts = F.ceil(2 * F.col("n") / self.shard_rows(F.col("dim")))
+            # rows that are all alike are dealt by place
+            alike = F.col("node").endswith("=")
+            numbered = F.pmod(F.xxhash64("place", F.lit("alike")), parts)
+            equal = more.filter(alike).withColumn("node", F.concat_ws(".", "node", numbered)).select(*rows.columns)
+            copies = large.filter(alike).join(above, "node").select(
+                F.col("node").alias("parent"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("k"), "pivot"
+            )
+            copies = copies.select("parent", F.concat_ws(".", "parent", "k").alias("node"), "pivot", F.lit(0.0).alias("to_parent"))
+            # so few rows of each node that a hash chooses as pivots
+            fan = F.least(F.lit(FAN), parts + 1)
+            h = F.pmod(F.xxhash64("place", F.lit(f"pivot{len(nodes)}")), F.lit(1 << 40))
+            some = more.filter(~alike).withColumn("_h", h).filter(F.col("_h") < (1 << 40) * (2 * fan + 64) / F.col("n"))
+            some = some.withColumn("_rank", F.row_number().over(Window.partitionBy("node").orderBy("_h", "place"))).filter(F.col("_rank") <= fan)
+            some = materialize(some.join(above.withColumnRenamed("pivot", "above"), "node").select("node", "v", "most", "above"), "mt-pivots")
+            nodes.append(some.groupBy("node").applyInArrow(_children, _NODE).unionByName(copies))
+            left, right = _salted(more.filter(~alike).select("node", "id", "place", "v", "most"), some, large.filter(~alike), F.floor(NUMBERS / F.greatest("dim", F.lit(1))))
+            left = left.select("node", "id", "place", "v", "most", "salt")
+            dealt = left.groupBy("node", "salt").cogroup(right.groupBy("node", "salt")).applyInArrow(_deal, _ROW)
+            rows = materialize(dealt.unionByName(equal), "mt-dealt")
+        leaves = done[0]
+        for d in done[1:]:
+            leaves = leaves.unionByName(d)
+        self.pages = materialize(leaves.groupBy("node").applyInArrow(_pages, _PAGE), "mt-pages")
+        self.levels = nodes
+        self.shards = self.pages.select("node").distinct()
+
+    def _descend(self, queries: DataFrame, all_within: bool) -> DataFrame:
+        """queries (id, place, v, bound) at the shards where they have to search: node."""
+        open_ = self.dims.select("node", (F.col("n") > self.shard_rows(F.col("dim"))).alias("open"))
+        at = queries.select(F.size("v").cast("string").alias("node"), "id", "place", "v", "bound", F.lit(None).cast("double").alias("dist"))
+        sizes = at.groupBy("node").agg(F.count(F.lit(1)).alias("m")).join(open_, "node")
+        at = join_counted(at, sizes, "node", "m").drop("m")
+        found = None
+        for level in self.levels:
+            at = materialize(at, "mt-at")
+            here = at.filter("not open")
+            found = here if found is None else found.unionByName(here)
+            going = at.filter("open")
+            counts = materialize(going.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")), "mt-going")
+            children = level.select(F.col("node").alias("child"), F.col("parent").alias("node"), "pivot", "radius", "to_parent", "open")
+            left, right = _salted(going, children, counts, F.floor(NUMBERS / F.greatest("dim", F.lit(FAN))))
+            at = left.groupBy("node", "salt").cogroup(right.groupBy("node", "salt")).applyInArrow(
+                _route(all_within), "node string, id long, place string, v array<double>, bound double, dist double, open boolean"
+            )
+        at = at.filter("not open")
+        return (at if found is None else found.unionByName(at)).select("node", "id", "place", "v", "bound")
+
+    def _search(self, asked: DataFrame, k: int) -> DataFrame:
+        """The k best rows of each (query, shard)."""
+        counts = asked.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"))
+        left, right = _salted(asked, self.pages, materialize(counts, "mt-asked"), F.least(F.lit(4096), F.floor(NUMBERS / F.greatest("dim", F.lit(1)))))
+        return left.groupBy("node", "salt").cogroup(right.groupBy("node", "salt")).applyInArrow(_search_shard(k), "query_id long, place string, vec_id long, score long")
+
+    def top_k(self, queries: DataFrame, k: int) -> DataFrame:
+        start = queries.select("id", "place", "v", F.lit(float("inf")).alias("bound"))
+        home = materialize(self._descend(start, False), "mt-home")
+        first = materialize(self._search(home, k), "mt-first")
+        # the k-th score so far bounds all other shards
+        kth = first.groupBy("place").agg(F.sort_array(F.collect_list("score"), False).alias("s")).select("place", F.try_element_at("s", F.lit(k)).alias("kth"))
+        sizes = home.join(kth, "place", "left").select("node", "id", "place", "v", "kth", F.size("v").alias("dim"))
+        of = self.dims.select("dim", "most")
+        norm = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
+        bound = F.when(F.col("kth").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), norm + F.col("most") - 2 * F.col("kth")))).otherwise(float("inf"))
+        counted = sizes.groupBy("dim").agg(F.count(F.lit(1)).alias("m")).join(of, "dim")
+        again = join_counted(sizes, counted, "dim", "m").select("id", "place", "v", bound.alias("bound"))
+        self.reached = materialize(self._descend(again, True).join(home.select("node", "place"), ["node", "place"], "left_anti"), "mt-reached")
+        second = self._search(self.reached, k)
+        best = Window.partitionBy("place").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+        both = first.unionByName(second).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return both.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, shard_rows=_shard_rows) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k rows of the greatest inner products, but for its own row.
 
-    rows and queries: (id long, place, v array<double> of whole numbers); place names a row, and queries
+    rows and queries: (id long, place string, v array<double> of whole numbers); place names a row, and queries
     are rows. Vectors of different lengths don't meet. Ties go to the smaller id, then
-    to either of rows that share it.
+    to either of rows that share it. Without rows or queries the result is empty.
     """
-    spark = rows.sparkSession
-    ship(spark)
-    dim = F.size("v").alias("dim")
-    square = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
-    stats = rows.groupBy(dim).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("most")).collect()
-    if not stats:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # a bounded sample of the rows, by hash, are the pivots
-    chosen: dict[int, tuple] = {}
-    for s in sorted(stats, key=lambda s: -s["n"]):
-        want = max(1, min(PIVOTS // min(len(stats), PIVOTS), -(-s["n"] // (part // 2))))
-        found = rows.filter(F.size("v") == s["dim"]).orderBy(F.xxhash64("place", F.lit("pivot")), "id").limit(want).select("v").toPandas()
-        centre = lifted(_matrix(found["v"]).reshape(len(found), s["dim"]), s["most"])
-        number = np.arange(len(found)) + sum(len(c[0]) for c in chosen.values())
-        chosen[s["dim"]] = (number, centre, s["most"], np.zeros(len(found)))
-    shared = spark.sparkContext.broadcast(chosen)
-    fields = f"id long, place {rows.schema['place'].dataType.simpleString()}, v array<double>"
-    dealt = materialize(rows.select("id", "place", "v").mapInPandas(_nearest(shared, "v", False), f"{fields}, pivot long, dist double"), "mt-rows")
-    pivots = dealt.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius")).collect()  # PIVOTS rows at most
-    size = {r["pivot"]: r["n"] for r in pivots}
-    radius = {r["pivot"]: r["radius"] for r in pivots}
-    for number, *_, own in chosen.values():
-        own[:] = [radius.get(p, -np.inf) for p in number.tolist()]
-    shared = spark.sparkContext.broadcast(chosen)
-    parts = F.element_at(F.create_map(*[F.lit(x) for p, n in size.items() for x in (p, max(1, -(-n // part)))]), F.col("pivot"))
-    most = F.element_at(F.create_map(*[F.lit(x) for s in stats for x in (s["dim"], s["most"])]), F.size("v"))
-    trees = dealt.withColumn("sub", F.pmod(F.xxhash64("place"), parts)).withColumn("most", most).select("pivot", "sub", "id", "place", "v", "most")
-
-    def searched(asked: DataFrame) -> DataFrame:
-        """asked: queries with pivot and bound."""
-        # a block of queries searches a subtree; the subtree's rows go to each of its blocks
-        block = F.pmod(F.xxhash64("place", F.lit("block")), F.col("blocks"))
-        counts = materialize(asked.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks")), "mt-blocks")
-        ask = asked.join(counts, "pivot").withColumn("block", block).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        own = trees.join(counts, "pivot").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        keys = ["pivot", "sub", "block"]
-        kind = rows.schema["place"].dataType.simpleString()
-        return (
-            ask.select(*keys, "id", "place", "v", "bound")
-            .groupBy(*keys)
-            .cogroup(own.select(*keys, "id", "place", "v", "most").groupBy(*keys))
-            .applyInPandas(_search_part(k), f"query_id long, place {kind}, vec_id long, score long")
-        )
-
-    start = queries.select("id", "place", "v", F.lit(float("inf")).alias("bound"))
-    start = start.mapInPandas(_nearest_query(shared), f"{fields}, bound double, pivot long")
-    first = materialize(searched(start), "mt-first")
-    # the k-th score so far gives the bound of all other subtrees
-    kth = first.groupBy("place").agg(F.sort_array(F.collect_list("score"), False).alias("s")).select("place", F.try_element_at("s", F.lit(k)).alias("kth"))
-    norm = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
-    bound = F.coalesce(F.sqrt(F.greatest(F.lit(0.0), norm + most - 2 * F.col("kth"))), F.lit(float("inf")))
-    again = queries.join(kth, "place", "left").select("id", "place", "v", bound.alias("bound"))
-    again = again.mapInPandas(_nearest(shared, "v", True), f"{fields}, bound double, pivot long")
-    second = materialize(searched(again), "mt-second")
-    best = Window.partitionBy("place").orderBy(F.desc("score"), "vec_id")
-    both = first.unionByName(second).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return both.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _nearest_query(pivots):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for dim, part in pdf.groupby(pdf["v"].map(len), sort=False):
-                number, centre, _, _ = pivots.value[dim]
-                x = _matrix(part["v"])
-                d = (centre * centre).sum(axis=1)[None] - 2 * x @ centre[:, :-1].T
-                out.append(part.assign(pivot=number[d.argmin(axis=1)]))
-            if out:
-                yield pd.concat(out)
-
-    return run
+    workers(rows.sparkSession)
+    return Index(rows, shard_rows).top_k(queries, k)
 
 
 def whole_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """(id, place, v) of the rows that take part: floor(scale * x) of each component.
 
     Null vectors, and vectors that hold a null or a component that is not finite, take no
-    part. Empty vectors do, among themselves. Rows that repeat are rows of their own.
+    part. Empty vectors do, among themselves; so do rows without an id, which lose ties. Rows that
+    repeat are rows of their own. Other columns play no part, whatever their names.
     """
-    from .shared import KEY, with_row_key
-
-    x = F.col(vector_col)
+    own = keyed(table, id=column(id_col).cast("long"), x=column(vector_col))
+    x = F.col("x")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < float("inf")))
-    own = with_row_key(table).filter(x.isNotNull() & finite)
     whole = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("double"))
-    return own.select(F.col(id_col).cast("long").alias("id"), F.concat_ws("#", *KEY).alias("place"), whole.alias("v"))
+    return own.filter(x.isNotNull() & finite).select("id", F.concat_ws("#", *KEY).alias("place"), whole.alias("v"))
 
 
 def op3_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five rows of the greatest inner products for every 50th embedding."""
     rows = materialize(whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "mt-vectors")
     return top_k(rows, rows.filter("id % 50 = 0"))

@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cluster import ship
 from .components import connected_components
 from .exact_dedup import without_rows
-from .shared import KEY, materialize, split_by_keys, with_row_key
-from .simhash import PIECE_BYTES, _pieces, _shingles, members
+from .shared import KEY, Flat, column, drop, join_counted, keyed, materialize, split_by_keys, tables, workers
+from .simhash import PIECE_BYTES, _shingles, members, piece_hashes
 from .textops import BLOCK_BYTES, blocks, byte_sizes, mixed, words, xxh64
 
 SHINGLE = 5
@@ -39,14 +38,8 @@ def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.n
     start, end, number = _shingles(w, n)
     of, h = [np.repeat(np.arange(len(texts)), number)], [xxh64(w.buf, start, end)]
     for i in (i for i, t in enumerate(texts) if len(t) > PIECE_BYTES):
-        some = False
-        for piece in _pieces(texts[i].lower(), n):
-            w = words([piece])
-            if w.first[1] < n and some:
-                continue  # no words but those that the last piece had
-            start, end, more = _shingles(w, n)
-            some = some or bool(more[0])
-            h.append(np.unique(xxh64(w.buf, start, end)))
+        for part in piece_hashes(texts[i].lower(), n):
+            h.append(np.unique(part))
             of.append(np.full(len(h[-1]), i))
     of, h = np.concatenate(of), np.concatenate(h)
     order = np.lexsort((h, of))
@@ -144,18 +137,24 @@ def similar_links(prints: DataFrame, texts: DataFrame, leaders: int = LEADERS) -
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row key, id, _fp, component_id and kept of each row, as simhash_groups has them.
+    """The row key, _id, _fp, component_id and kept of each row, as simhash_groups has them.
 
     Words are lowered and split at white space; a text of less than five words is one shingle. Null
-    texts and those without words are similar to each other alone.
+    texts and those without words are similar to each other alone. Long texts are hashed piece by
+    piece and wholly. An empty table gives an empty result. Other columns of docs play no part, whatever
+    their names.
     """
-    ship(docs.sparkSession)
-    own = with_row_key(docs).select(*KEY, F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    workers(docs.sparkSession)
+    own = keyed(docs, _id=column(id_col), _text=column(text_col).cast("binary")).select(*KEY, "_id", "_text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1])
     prints = materialize(own.mapInArrow(_band_batches, f"{fields}, _fp long, _n long, _bands array<long>"), "near-prints")
     return members(prints.drop("_n", "_bands"), lambda _: similar_links(prints, own))
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near copies."""
-    return without_rows(docs, similar_groups(docs).filter("not kept"))
+    """docs with one document of each group of near copies; all columns stay as they are, whatever their names."""
+    flat = Flat(docs)
+    with tables(docs.sparkSession):
+        gone = similar_groups(flat.rows, flat.name("doc_id"), flat.name("text")).filter("not kept")
+        gone = materialize(gone.select(*KEY), "gone", outlives=True)
+    return without_rows(flat, gone)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from .shared import column, workers
 from .textops import blocks, byte_sizes
 
 #: Bytes of text that share a table of chunks.
@@ -164,10 +164,10 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     Ids include those that begin and end a text. A null text counts as empty: these two
     ids, and the empty text. Rows that repeat are encoded each; an empty table gives an
-    empty result. Other columns of docs play no part. path: a model's file, on all executors.
+    empty result. Other columns of docs play no part, whatever their names. path: a model's file, on all executors.
     """
-    ship(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    workers(docs.sparkSession)
+    own = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text"))
     kind = own.schema["_id"].dataType.simpleString()
     if digests:
         return own.mapInArrow(_digest_batches(path), f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,22 +1,33 @@
-"""Tables in the shared folder, row keys and bounded bitmaps.
+"""Tables in the shared folder, row keys, column names and bounded bitmaps.
 
 Lineage is cut by writing a table below ``spark.checkpoint.dir`` and reading it
 again: unlike a local checkpoint it outlives any executor, and its real size is
-known to the adaptive planner.
+known to the adaptive planner. All tables of an application stand in one folder, which
+release() deletes; tables() deletes those of a block of code.
 """
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+
 #: Bits of a candidate bitmap: 4 MB however much data there is.
 BITMAP_BITS = 1 << 25
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session has its own setting.
+ARROW_BYTES = 4 << 20
+#: Keys with more than one in HOT of all rows are hot, so there are fewer than HOT of them.
+HOT = 1 << 16
+
+_made: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,14 +45,42 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sparkpact-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str, outlives: bool = False) -> str:
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _made[: len(_made) - outlives]:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def tables(spark: SparkSession) -> Iterator[None]:
+    """A block whose intermediate tables are deleted at its end, but for those made to outlive it.
+
+    What the block returns must not read the others any more.
+    """
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made.remove(made)
+        for path in made:
+            drop_path(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application, once no result of an operator is read any more."""
+    drop_path(spark, _folder(spark))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again."""
+def materialize(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """df, written to the shared folder and read again. outlives: it stays when the innermost tables() block ends."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, outlives)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,31 +91,86 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def drop(df: DataFrame) -> None:
+def drop(*written: DataFrame) -> None:
     """Deletes what materialize() wrote, once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith("file:/") or "://" in path or path.startswith("/"):
+    for df in written:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             drop_path(df.sparkSession, path)
 
 
+def workers(spark: SparkSession) -> None:
+    """Makes the session ready for Python workers: the package's sources, and batches of bounded size."""
+    ship(spark)
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def column(name: str) -> Column:
+    """The column of that name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 #: Where a row lies: file and row index in it.
 KEY = ("_rk_file", "_rk_row")
 
 
-def with_row_key(df: DataFrame) -> DataFrame:
-    """df and two long columns that name each row, the same at every evaluation.
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df's rows are rows of files, none of them twice: a relation below projections and filters."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    roots = plan.relation().location().rootPaths()
+    paths = sorted(roots.apply(i).toString().rstrip("/") + "/" for i in range(roots.size()))
+    return not any(b.startswith(a) for a, b in zip(paths, paths[1:], strict=False))
+
+
+def _scanned(df: DataFrame) -> DataFrame | None:
+    """df with a row key by file and position, None where rows have no such place."""
+    if not _is_scan(df):
+        return None
+    try:
+        place = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(place["file_path"]).alias(KEY[0]), place["row_index"].alias(KEY[1]))
+    except AnalysisException:
+        return None
+
 
-    Rows of a file scan are named by file and position. Anything else is first
-    written to the shared folder, which gives it such positions.
+def keyed(df: DataFrame, **columns: Column) -> DataFrame:
+    """The named columns of df and two long columns that name each row, the same at every evaluation.
+
+    Rows of a file scan are named by file and position. Anything else, where rows may
+    come from one place and be several, is first written to the shared folder, which
+    gives each row a position of its own.
     """
+    own = df.select(*[c.alias(n) for n, c in columns.items()])
+    return _scanned(own) or _scanned(materialize(own, "rows"))
 
-    def keyed(x: DataFrame) -> DataFrame:
-        return x.withColumns({KEY[0]: F.xxhash64("_metadata.file_path"), KEY[1]: F.col("_metadata.row_index")})
 
-    try:
-        return keyed(df)
-    except AnalysisException:
-        return keyed(materialize(df, "rows"))
+class Flat:
+    """A table whose columns are called c0, c1 and so on, so that no name can clash, with row keys."""
+
+    def __init__(self, docs: DataFrame, keys: bool = True):
+        self.names = docs.columns
+        self.own = [f"c{i}" for i in range(len(self.names))]
+        rows = docs.toDF(*self.own)
+        self.rows = keyed(rows, **{c: F.col(c) for c in self.own}) if keys else rows
+
+    def name(self, wanted: str) -> str:
+        """The present name of a column: one that has this name, else the only one that has it but for case."""
+        at = [i for i, n in enumerate(self.names) if n == wanted] or [i for i, n in enumerate(self.names) if n.lower() == wanted.lower()]
+        if len(at) != 1:
+            raise ValueError(f"{len(at)} columns are called {wanted!r}")
+        return self.own[at[0]]
+
+    def restored(self, rows: DataFrame, *more: Column) -> DataFrame:
+        """rows with the former names, and further columns; of the former, those whose names are given again give way."""
+        added = rows.select(*self.own, *more).columns[len(self.own) :]
+        stay = [i for i, n in enumerate(self.names) if n not in added]
+        return rows.select(*[self.own[i] for i in stay], *more).toDF(*[self.names[i] for i in stay], *added)
 
 
 def bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> np.ndarray:
@@ -116,3 +210,16 @@ def split_by_keys(df: DataFrame, key: Column, keys: DataFrame, bits: int = 1 <<
     marked = marked.join(F.broadcast(words), "_bm_word", "left")
     hit = F.expr("coalesce(shiftright(_bm_bits, int(_bm_slot & 63)) & 1L, 0L) = 1L")
     return marked.filter(hit).select(df.columns), marked.filter(~hit).select(df.columns)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with table, which has one row a key and tells in n how many rows have that key.
+
+    Keys that more than one in HOT of all rows share are fewer than HOT, so their part of the
+    table is broadcast and no task gets all their rows; only the others are shuffled.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(total // HOT, 256)
+    many = F.broadcast(table.filter(hot))
+    rest = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti")
+    return rows.join(many, key).unionByName(rest.join(table.filter(~hot), key))

@@ -2,8 +2,8 @@
 
 Fingerprints within RADIUS bits agree in one of RADIUS + 1 blocks of their bits, so only
 distinct fingerprints that share a block meet, in a bucket. A bucket of more than
-BUCKET of them is dealt anew by the blocks of the bits that are left, to the last
-level: nothing is capped. Inside a run of buckets the fingerprints lie as 64 vertical
+BUCKET of them is dealt anew by the blocks of the bits that are left. After the last level
+9 bits are left, and so 512 fingerprints at most: nothing is capped. Inside a run of buckets the fingerprints lie as 64 vertical
 bit planes. Shifting the planes by d compares every fingerprint with the d-th after it;
 carry-save counters of two bits and an overflow bit add up the distances of 64 pairs an
 operation, and words all of whose pairs are over the radius are abandoned. A bucket
@@ -12,6 +12,7 @@ emits links to its components' first members, not its pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,22 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship
 from .components import connected_components
 from .exact_dedup import without_rows
-from .shared import KEY, materialize, with_row_key
+from .shared import KEY, Flat, column, join_counted, keyed, materialize, tables, workers
 from .textops import BLOCK_BYTES, Words, blocks, byte_sizes, words, xxh64
 
 RADIUS = 3
 SHINGLE = 3
 #: Distinct fingerprints that a bucket may hold before its remaining bits deal it anew.
 BUCKET = 512
-#: Bits of a block at each level: 4 blocks of the 64, of the 48 left and of the 36 left.
-LEVELS = (16, 12, 9)
+#: Bits of a block at each level: 4 blocks of the 64, of the 48 left, of the 36 left and so on.
+LEVELS = (16, 12, 9, 6, 5, 4, 3)
 #: Rows that are compared together.
 CHUNK = 1 << 15
 #: Bytes of one text that are hashed at a time.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 # byte -> its 8 bits, one in each byte of a word
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
@@ -67,34 +67,44 @@ def bit_counts(h: np.ndarray, number: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pieces(text: bytes, n: int) -> Iterator[bytes]:
-    """A long text in parts of whole words; each begins with the n - 1 words before it."""
-    lo, before = 0, b""
+_SPACES = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _hashes(w: Words, n: int) -> np.ndarray:
+    start, end, _ = _shingles(w, n)
+    return xxh64(w.buf, start, end)
+
+
+def piece_hashes(text: bytes, n: int) -> Iterator[np.ndarray]:
+    """The hashes of a long text's shingles, in parts: each part has the words of PIECE_BYTES bytes or so and,
+    before them, those that its first shingles begin with. A text of fewer than n words is one shingle.
+    """
+    lo, before, short = 0, b"", True
     while lo < len(text):
-        hi = lo + PIECE_BYTES
-        while hi < len(text) and text[hi] not in b" \t\n\r\x0b\f":
-            hi += 1
-        piece = before + b" " + text[lo:hi]
-        yield piece
-        before, lo = b" ".join(piece.split()[-(n - 1) :]) if n > 1 else b"", hi
+        m = _SPACES.search(text, lo + PIECE_BYTES)
+        hi = m.start() if m else len(text)
+        w = words([before + b" " + text[lo:hi]])
+        if len(w.start) >= n:
+            short = False
+            yield _hashes(w, n)
+        # words that no shingle has begun with yet
+        at = max(0, len(w.start) - n + 1)
+        before = w.buf[w.start[at] : w.end[-1]].tobytes() if at < len(w.start) else b""
+        lo = hi
+    if short and before:
+        yield _hashes(words([before]), n)
 
 
 def fingerprints(texts: list[bytes], n: int = SHINGLE) -> np.ndarray:
     """The SimHash of each text; that of a text without words is 0."""
     out = np.zeros(len(texts), np.uint64)
-    long = [i for i, t in enumerate(texts) if len(t) > PIECE_BYTES]
-    short = [t if len(t) <= PIECE_BYTES else b"" for t in texts]
-    w = words([t.lower() for t in short])
+    w = words([t.lower() if len(t) <= PIECE_BYTES else b"" for t in texts])
     start, end, number = _shingles(w, n)
     counts = bit_counts(xxh64(w.buf, start, end), number)
-    for i in long:
-        for piece in _pieces(texts[i].lower(), n):
-            w = words([piece])
-            if w.first[1] < n and number[i]:
-                continue  # no words but those that the last piece had
-            start, end, more = _shingles(w, n)
-            counts[i] += bit_counts(xxh64(w.buf, start, end), more)[0]
-            number[i] += more[0]
+    for i in (i for i, t in enumerate(texts) if len(t) > PIECE_BYTES):
+        for h in piece_hashes(texts[i].lower(), n):
+            counts[i] += bit_counts(h, np.array([len(h)]))[0]
+            number[i] += len(h)
     set_ = (2 * counts > number[:, None]).astype(np.uint8)
     if len(texts):
         out[:] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
@@ -215,12 +225,12 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _deal(rows: DataFrame, bits: int) -> DataFrame:
-    """Each row once for each of its 4 blocks: bucket grows by the block, rest loses it."""
+    """Each row once for each of 4 blocks of its rest: bucket is hashed with the block, rest loses it."""
     each = [
         F.struct(
-            F.expr(f"(bucket * 4 + {t}) * {1 << bits} + (shiftrightunsigned(rest, {bits * t}) & {(1 << bits) - 1}L)").alias("bucket"),
+            F.expr(f"xxhash64(bucket, {t}, shiftrightunsigned(rest, {bits * t}) & {(1 << bits) - 1}L)").alias("bucket"),
             F.expr(
-                (f"shiftleft(shiftrightunsigned(rest, {bits * (t + 1)}), {bits * t}) | " if t < 3 else "")
+                (f"shiftleft(shiftrightunsigned(rest, {bits * (t + 1)}), {bits * t}) | " if bits * (t + 1) < 64 else "")
                 + f"(rest & {(1 << (bits * t)) - 1}L)"
             ).alias("rest"),
         )
@@ -231,37 +241,33 @@ def _deal(rows: DataFrame, bits: int) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame, largest: int = BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp) whose components are those of all near pairs."""
-    rows = materialize(_deal(fps.select(F.lit(0).cast("long").alias("bucket"), F.col("fp").alias("rest"), "fp"), LEVELS[0]), "sim-buckets")
-    ready = []
-    for bits in [*LEVELS[1:], None]:
-        if bits is None:
-            ready.append(rows.select("bucket", "fp"))
-            break
-        large = materialize(rows.groupBy("bucket").count().filter(F.col("count") > largest).select("bucket"), "sim-large")
-        if large.isEmpty():
-            ready.append(rows.select("bucket", "fp"))
+    rows = fps.select(F.lit(0).cast("long").alias("bucket"), F.col("fp").alias("rest"), "fp")
+    dealt = None
+    for bits in LEVELS:
+        rows = materialize(_deal(rows, bits), "sim-buckets")
+        counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+        large = materialize(counts.filter(F.col("n") > largest), "sim-large")
+        done = large.isEmpty() or bits == LEVELS[-1]
+        ready = (rows if done else rows.join(large, "bucket", "left_anti")).select("bucket", "fp")
+        dealt = ready if dealt is None else dealt.unionByName(ready)
+        if done:
             break
-        ready.append(rows.join(large, "bucket", "left_anti").select("bucket", "fp"))
-        level = F.lit(len(ready)).cast("long")
-        deeper = _deal(rows.join(large, "bucket", "left_semi"), bits)
-        rows = materialize(deeper.withColumn("bucket", F.col("bucket") + F.shiftleft(level, 44)), "sim-buckets")
-    dealt = ready[0]
-    for more in ready[1:]:
-        dealt = dealt.unionByName(more)
+        rows = join_counted(rows, large, "bucket", "n").select("bucket", "rest", "fp")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_link_batches, "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The row key, id, _fp, component_id and kept of each row.
+    """The row key, _id, _fp, component_id and kept of each row.
 
     A null text counts as empty; texts without words have the fingerprint 0, which links like
-    any other. component_id is the smallest id that links reach; nulls are passed over, unless
-    all are null. Exactly one row of a component is kept: the first by id (nulls last) and place.
-    An empty table gives an empty result. Other columns of docs play no part.
+    any other. Long texts are hashed piece by piece and wholly. component_id is the smallest id that
+    links reach; nulls are passed over, unless all are null. Exactly one row of a component is kept: the
+    first by id (nulls last) and place. An empty table gives an empty result. Other columns of docs play
+    no part, whatever their names.
     """
-    ship(docs.sparkSession)
-    own = with_row_key(docs).select(*KEY, F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    workers(docs.sparkSession)
+    own = keyed(docs, _id=column(id_col), _text=column(text_col).cast("binary")).select(*KEY, "_id", "_text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1])
     prints = materialize(own.mapInArrow(lambda b: _fingerprint_batches(b, shingle), f"{fields}, _fp long"), "sim-prints")
     return members(prints, fingerprint_links)
@@ -270,23 +276,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def members(prints: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """prints with component_id and kept; links gives links (a, b) between their distinct fingerprints (fp)."""
     first = F.min(F.struct(F.col("_id").isNull(), "_id", *KEY)).alias("rep")
-    fps = materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(first), "sim-distinct")
-    labels = materialize(connected_components(links(fps.select("fp")), "a", "b"), "sim-labels")
-    by_label = labels.join(fps, labels["node"] == fps["fp"]).groupBy("label").agg(F.min("rep").alias("rep"))
-    by_label = materialize(by_label, "sim-components")
-    whole = materialize(labels.join(by_label, "label").select("node", F.col("rep").alias("_whole")), "sim-members")
-    reps = fps.join(whole, fps["fp"] == whole["node"], "left").select("fp", F.coalesce("_whole", "rep").alias("rep"))
-    reps = materialize(reps, "sim-reps")
-    return prints.join(reps, prints["_fp"] == reps["fp"]).select(
-        *[prints[k] for k in KEY],
+    with tables(prints.sparkSession):
+        fps = materialize(prints.groupBy(F.col("_fp").alias("fp")).agg(first, F.count(F.lit(1)).alias("n")), "sim-distinct")
+        labels = materialize(connected_components(links(fps.select("fp")), "a", "b"), "sim-labels")
+        by_label = labels.join(fps, labels["node"] == fps["fp"]).groupBy("label").agg(F.min("rep").alias("_whole"), F.count(F.lit(1)).alias("m"))
+        by_label = materialize(by_label, "sim-components")
+        whole = materialize(join_counted(labels, by_label, "label", "m").select("node", "_whole"), "sim-members")
+        reps = fps.join(whole, fps["fp"] == whole["node"], "left").select(F.col("fp").alias("_fp"), "n", F.coalesce("_whole", "rep").alias("rep"))
+        reps = materialize(reps, "sim-reps", outlives=True)
+    return join_counted(prints, reps, "_fp", "n").select(
+        *KEY,
         "_id",
         "_fp",
         F.col("rep._id").alias("component_id"),
-        F.struct(*[F.col(f"rep.{k}") for k in KEY]).eqNullSafe(F.struct(*[prints[k] for k in KEY])).alias("kept"),
+        F.struct(*[F.col(f"rep.{k}") for k in KEY]).eqNullSafe(F.struct(*KEY)).alias("kept"),
     )
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of each document and the smallest doc_id that links of 3 bits reach."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return simhash_groups(docs).select(
         F.col("_id").alias("doc_id"),
@@ -296,5 +304,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component."""
-    return without_rows(docs, simhash_groups(docs).filter("not kept"))
+    """docs with one document of each component; all columns stay as they are, whatever their names."""
+    flat = Flat(docs)
+    with tables(docs.sparkSession):
+        gone = simhash_groups(flat.rows, flat.name("doc_id"), flat.name("text")).filter("not kept")
+        gone = materialize(gone.select(*KEY), "gone", outlives=True)
+    return without_rows(flat, gone)

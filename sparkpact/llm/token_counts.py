@@ -10,6 +10,7 @@ those of its parts, and a batch encodes each distinct part once.
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import ship
+from .shared import column, workers
 from .textops import blocks, byte_sizes
 
 #: Bytes of text that are encoded together.
@@ -43,7 +44,23 @@ def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    own = Tokenizer.from_file(path)
+    _check(json.loads(own.to_str()))
+    own.no_truncation()
+    own.no_padding()
+    return own, {}
+
+
+def _check(tokenizer: dict) -> None:
+    """Refuses tokenizers whose tokens may cross a safe boundary, or that count otherwise than by parts."""
+    before = tokenizer["pre_tokenizer"] or {}
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("the pre-tokenizer must be byte-level, split words and add no blank in front")
+    if tokenizer["normalizer"] is not None or tokenizer["model"]["type"] != "BPE" or tokenizer["model"].get("dropout"):
+        raise ValueError("there must be no normalizer, and a BPE model without dropout")
+    for token in tokenizer["added_tokens"]:
+        if token["lstrip"] or token["rstrip"] or token["single_word"] or re.search(f"[{_WHITE}]", token["content"]):
+            raise ValueError(f"the added token {token['content']!r} may take blanks along")
 
 
 def safe_parts(text: str) -> list[str]:
@@ -122,10 +139,11 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """The id, n_bytes, n_tokens and over_limit of each row. path: a tokenizer's file, on all executors.
 
     A null text counts as empty: no bytes, no tokens. Rows that repeat are counted
-    each; an empty table gives an empty result. Other columns of docs play no part.
+    each; an empty table gives an empty result. Other columns of docs
+    play no part, whatever their names.
     """
-    ship(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    workers(docs.sparkSession)
+    own = docs.select(column(id_col).alias("_id"), column(text_col).alias("_text"))
     kind = own.schema["_id"].dataType.simpleString()
     return own.mapInArrow(_count_batches(path, limit), f"_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
