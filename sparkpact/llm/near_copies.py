@@ -1,10 +1,16 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
+"""SimHash near-dedup of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
 
-Candidates share one of BANDS keys, each made of ROWS least hashes; two texts of similarity s
-share none with probability (1 - s^ROWS)^BANDS, 6e-7 at 0.8. Every candidate is judged by
-the sets themselves. A band's texts are compared with a leader of their own first; bands whose
-texts are then all joined are done, and of the others all pairs not yet joined are compared:
-nothing is capped. Texts with equal sets are one node.
+A wide SimHash of the set, WORDS_ words of bits, tells apart what 64 bits can't: at 0.8 two texts differ in 39 of
+256 bits on average, in more than RADIUS with probability 1e-8. Texts meet in buckets, which here are
+bands of ROWS least shingle hashes: two texts of similarity s share none of BANDS bands with probability
+(1 - s^ROWS)^BANDS, 6e-7 at 0.8. Within a bucket they are compared by bit planes, as in op9, and pairs
+within the radius are judged exactly by their sets. Texts with equal sets are one node.
+
+Only pairs of different components need judging. A bucket of BUCKET nodes at most first judges each node's
+nearest two of other components, and then all pairs that are still apart. A larger one first compares its
+nodes with a leader, which joins large groups of copies. If there are several components then, it is
+dealt anew by bands of other hashes, so that texts which share no more than a frequent passage part. What
+is large after LEVELS such turns is compared, but for its largest component's own pairs, whole.
 """
 
 from __future__ import annotations
@@ -13,28 +19,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .exact_dedup import without_rows
 from .shared import KEY, Flat, column, drop, join_counted, keyed, materialize, split_by_keys, tables, workers
-from .simhash import PIECE_BYTES, _shingles, members, piece_hashes
+from .simhash import PIECE_BYTES, _shingles, majority, members, near_rows, piece_hashes
 from .textops import BLOCK_BYTES, blocks, byte_sizes, mixed, words, xxh64
 
 SHINGLE = 5
 BANDS, ROWS = 20, 3
-#: Rounds in which the texts of a band are compared with one leader.
-LEADERS = 2
+#: Words of a fingerprint, and bits that near copies may differ in.
+WORDS_, RADIUS = 4, 72
+#: Nodes of a bucket that are compared by bit planes, and those compared together.
+BUCKET, CHUNK = 256, 1 << 13
+#: Times that large buckets are dealt anew.
+LEVELS = 3
+
+_SIM = [f"s{k}" for k in range(WORDS_)]
+
 
-# An odd multiplier for each of the least hashes.
-_MULTIPLIERS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+def _multipliers(level: int) -> np.ndarray:
+    """An odd multiplier for each of a level's least hashes."""
+    at = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) + np.uint64(level * BANDS * ROWS)
+    return mixed(at * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of all texts, and how many each text has."""
-    short = [t.lower() if len(t) <= PIECE_BYTES else b"" for t in texts]
-    w = words(short)
+    w = words([t.lower() if len(t) <= PIECE_BYTES else b"" for t in texts])
     start, end, number = _shingles(w, n)
     of, h = [np.repeat(np.arange(len(texts)), number)], [xxh64(w.buf, start, end)]
     for i in (i for i, t in enumerate(texts) if len(t) > PIECE_BYTES):
@@ -49,21 +63,34 @@ def shingle_sets(texts: list[bytes], n: int = SHINGLE) -> tuple[np.ndarray, np.n
     return h[new], np.bincount(of[new], minlength=len(texts))
 
 
-def band_keys(h: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts that have shingles: a hash of each set, and the keys of its bands."""
+def set_hashes(h: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A hash of each set of texts that have shingles."""
+    number = number[number > 0]
+    with np.errstate(over="ignore"):
+        return mixed(np.add.reduceat(mixed(h), np.cumsum(number) - number) + number.astype(np.uint64)) if len(number) else np.zeros(0, np.uint64)
+
+
+def band_keys(h: np.ndarray, number: np.ndarray, level: int = 0) -> np.ndarray:
+    """The keys of the bands of texts that have shingles."""
     number = number[number > 0]
     first = np.cumsum(number) - number
     keys = np.zeros((len(number), BANDS), np.uint64)
     if not len(number):
-        return np.zeros(0, np.uint64), keys
+        return keys
+    by = _multipliers(level)
     with np.errstate(over="ignore"):
-        node = mixed(np.add.reduceat(mixed(h), first) + number.astype(np.uint64))
         for b in range(BANDS):
             key = np.full(len(number), b + 1, np.uint64)
             for r in range(ROWS):
-                key = mixed(key * np.uint64(31) + np.minimum.reduceat(h * _MULTIPLIERS[b * ROWS + r], first))
+                key = mixed(key * np.uint64(31) + np.minimum.reduceat(h * by[b * ROWS + r], first))
             keys[:, b] = key
-    return node, keys
+    return keys
+
+
+def wide_prints(h: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """WORDS_ words of SimHash for each text."""
+    with np.errstate(over="ignore"):
+        return np.stack([majority(mixed(h * np.uint64(2 * k + 1)) if k else h, number) for k in range(WORDS_)], axis=1)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -79,12 +106,14 @@ def _lists(values: np.ndarray, number: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _band_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for own, names, h, number in _blocks(batches):
         node = np.zeros(len(number), np.uint64)
-        node[number > 0], keys = band_keys(h, number)
-        out = [pa.array(node.view(np.int64)), pa.array(number.astype(np.int64)), _lists(keys.ravel(), (number > 0) * BANDS)]
-        yield pa.RecordBatch.from_arrays([*own, *out], [*names, "_fp", "_n", "_bands"])
+        node[number > 0] = set_hashes(h, number)
+        sim = wide_prints(h, number).view(np.int64)
+        out = [pa.array(node.view(np.int64)), pa.array(number.astype(np.int64)), *(pa.array(sim[:, k].copy()) for k in range(WORDS_))]
+        bands = _lists(band_keys(h, number).ravel(), (number > 0) * BANDS)
+        yield pa.RecordBatch.from_arrays([*own, *out, bands], [*names, "_fp", "_n", *_SIM, "_bands"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,51 +121,175 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*own, _lists(h, number)], [*names, "_set"])
 
 
-def _similar(pairs: DataFrame, prints: DataFrame, own: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of nodes whose sets are similar; the sets are made again from the texts of candidates."""
-    need = pairs.select(F.col("a").alias("_fp")).unionAll(pairs.select("b")).distinct()
-    need = materialize(prints.select("_fp", *KEY).join(need, "_fp", "left_semi").dropDuplicates(["_fp"]), "near-need")
-    texts, _ = split_by_keys(own.select(*KEY, "_text"), F.xxhash64(*KEY), need.select(F.xxhash64(*KEY)))
-    sets = texts.join(need, [*KEY]).select("_fp", "_text").mapInArrow(_set_batches, "_fp long, _set array<long>")
-    sets = materialize(sets, "near-sets")
-    one = sets.select(F.col("_fp").alias("a"), F.col("_set").alias("_sa"))
-    two = sets.select(F.col("_fp").alias("b"), F.col("_set").alias("_sb"))
-    both = F.size(F.array_intersect("_sa", "_sb"))
-    # both / (a + b - both) >= 4 / 5
-    return pairs.join(one, "a").join(two, "b").filter(9 * both >= 4 * (F.size("_sa") + F.size("_sb"))).select("a", "b")
-
-
-def similar_links(prints: DataFrame, texts: DataFrame, leaders: int = LEADERS) -> DataFrame:
-    """Links (a, b) between nodes (_fp) whose components are those of all similar candidates."""
-    rows = materialize(prints.select(F.explode("_bands").alias("band"), F.col("_fp").alias("node"), F.col("_n").alias("n")), "near-bands")
-    shared = rows.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("band")
-    rows = materialize(rows.join(shared, "band", "left_semi").distinct().withColumn("comp", F.col("node")), "near-shared")
-    links = tested = None
-    for k in range(leaders + 1):
-        own = rows.select("band", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
-        if k < leaders:
-            least = F.min(F.struct(F.xxhash64("band", "node", F.lit(k)), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")))
-            own = rows.groupBy("band").agg(least.alias("_l")).select("band", "_l.x", "_l.nx", "_l.cx")
-        near = "cx <> comp AND 5 * least(n, nx) >= 4 * greatest(n, nx)" + ("" if k < leaders else " AND x < node")
-        pairs = rows.join(own, "band").filter(near).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+def _band_batches(level: int):
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, names, h, number in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([*own, _lists(band_keys(h, number, level).ravel(), (number > 0) * BANDS)], [*names, "_bands"])
+
+    return bands
+
+
+def near_pairs(bucket: np.ndarray, sim: np.ndarray, n: np.ndarray, comp: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one bucket and different components within the radius, whose sizes allow a similarity of 0.8.
+
+    nearest: only those in which one row is among the so many nearest of the other; 0: all.
+    """
+    found = [(i, j) for i, j in _apart(near_rows(bucket, sim, RADIUS), n, comp)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    if nearest:
+        d = np.bitwise_count(sim[i] ^ sim[j]).sum(axis=1)
+        keep = np.zeros(len(i), bool)
+        row, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+        order = np.lexsort((pair, np.tile(d, 2), row))
+        first = np.searchsorted(row[order], row[order])
+        keep[pair[order[np.arange(len(order)) - first < nearest]]] = True
+        i, j = i[keep], j[keep]
+    return i, j
+
+
+def _apart(pairs, n: np.ndarray, comp: np.ndarray):
+    for i, j in pairs:
+        keep = (comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+        yield i[keep], j[keep]
+
+
+def _pair_batches(nearest: int):
+    def pairs(rows: dict) -> pa.RecordBatch:
+        i, j = near_pairs(rows["bucket"], rows["sim"], rows["n"], rows["comp"], nearest)
+        a, b = rows["node"][i], rows["node"][j]
+        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict = {}
+        for batch in batches:
+            new = {k: batch.column(k).to_numpy() for k in ("bucket", "node", "n", "comp")}
+            new["sim"] = np.stack([batch.column(k).to_numpy().view(np.uint64) for k in _SIM], axis=1)
+            rows = {k: np.concatenate([rows[k], v]) for k, v in new.items()} if rows else new
+            while len(rows["bucket"]) >= CHUNK:
+                cut = int(np.searchsorted(rows["bucket"], rows["bucket"][min(len(rows["bucket"]), 2 * CHUNK) - 1]))  # the last bucket may go on
+                if not cut:
+                    break
+                yield pairs({k: v[:cut] for k, v in rows.items()})
+                rows = {k: v[cut:] for k, v in rows.items()}
+        if rows and len(rows["bucket"]):
+            yield pairs(rows)
+
+    return run
+
+
+def _within(x: str, y: str) -> Column:
+    """Whether two nodes may be similar, by their components, sizes and fingerprints."""
+    differ = sum((F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in _SIM), F.lit(0))
+    small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
+    return (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & (5 * small >= 4 * large) & (differ <= RADIUS)
+
+
+class Similar:
+    """Finds the links between nodes (_fp) of prints, whose texts are in `own`."""
+
+    def __init__(self, prints: DataFrame, own: DataFrame):
+        self.own = own
+        place = F.min(F.struct(*KEY)).alias("place")
+        nodes = prints.groupBy(F.col("_fp").alias("node")).agg(place, *[F.any_value(c).alias(c.strip("_")) for c in ("_n", *_SIM, "_bands")])
+        self.nodes = materialize(nodes, "near-nodes")
+        self.tested: DataFrame | None = None
+        self.links: DataFrame | None = None
+
+    def _texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, _text) of some nodes (node, place), each from one of its rows."""
+        need = materialize(nodes.select("node", *[F.col(f"place.{k}").alias(k) for k in KEY]), "near-need")
+        texts, _ = split_by_keys(self.own.select(*KEY, "_text"), F.xxhash64(*KEY), need.select(F.xxhash64(*KEY)))
+        return texts.join(need, [*KEY]).select("node", "_text")
+
+    def judge(self, pairs: DataFrame) -> None:
+        """Adds to the links those pairs (a, b) whose sets are similar; none is judged twice."""
+        pairs = pairs.distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialize(_similar(pairs, prints, texts), "near-links")
-        links = found if links is None else links.unionByName(found)
-        if k < leaders:
-            labels = materialize(connected_components(links, "a", "b"), "near-labels")
-            rows = rows.drop("comp").join(labels, "node", "left").select("band", "node", "n", F.coalesce("label", "node").alias("comp"))
-            rows = materialize(rows, "near-rows")
-            open_ = rows.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("band")
-            rows = materialize(rows.join(open_, "band", "left_semi"), "near-open")
-            if rows.isEmpty():
+        if self.links is not None and pairs.isEmpty():
+            return
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+        texts = self._texts(need.join(self.nodes, "node"))
+        sets = materialize(texts.mapInArrow(_set_batches, "node long, _set array<long>"), "near-sets")
+        for side in ("a", "b"):
+            own = sets.join(pairs.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("m")), "node")
+            pairs = join_counted(pairs, own.select(F.col("node").alias(side), F.col("_set").alias(f"_{side}"), "m"), side, "m").drop("m")
+        both = F.size(F.array_intersect("_a", "_b"))
+        # both / (a + b - both) >= 4 / 5
+        found = pairs.filter(9 * both >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b")
+        found = materialize(found, "near-links")
+        drop(sets)
+        self.links = found if self.links is None else self.links.unionByName(found)
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows (node) with comp, the component of each so far."""
+        labels = materialize(connected_components(self.links, "a", "b"), "near-labels")
+        return rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+
+    def open(self, rows: DataFrame) -> DataFrame:
+        """Those rows whose buckets hold several components, with m, the nodes of the bucket."""
+        several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
+        return materialize(join_counted(rows.drop("m"), several.select("bucket", "m"), "bucket", "m"), "near-open")
+
+    def compare(self, rows: DataFrame, nearest: int) -> DataFrame:
+        dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
+        return dealt.select("bucket", "node", "n", "comp", *_SIM).mapInArrow(_pair_batches(nearest), "a long, b long")
+
+    def lead(self, rows: DataFrame) -> DataFrame:
+        """Pairs of a bucket's leader with its other nodes."""
+        best = F.min(F.struct(F.xxhash64("bucket", "node"), "node", "n", "comp", *_SIM)).alias("l")
+        leaders = rows.groupBy("bucket").agg(best, F.count(F.lit(1)).alias("m")).select("bucket", "m", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("node", "n", "comp", *_SIM)])
+        both = join_counted(rows.drop("m"), leaders, "bucket", "m")
+        pair = both.select(F.struct("node", "n", "comp", *_SIM).alias("x"), F.struct(*[F.col(f"l_{c}").alias(c) for c in ("node", "n", "comp", *_SIM)]).alias("y"))
+        return pair.filter(_within("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    def rest(self, rows: DataFrame) -> DataFrame:
+        """All pairs of a bucket's nodes outside its largest component with its nodes of other components.
+
+        The bucket is dealt to chunks, and those few nodes go to each chunk.
+        """
+        sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+        main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("m"))
+        main = materialize(main.withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("long")), "near-main")
+        both = materialize(join_counted(rows.drop("m"), main, "bucket", "m"), "near-rest")
+        few = both.filter("comp <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        all_ = both.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
+        found = few.alias("x").join(all_.alias("y"), F.expr("x.bucket = y.bucket and x.chunk = y.chunk") & _within("x", "y"))
+        return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+    def deal(self, rows: DataFrame, level: int) -> DataFrame:
+        """Nodes of large buckets in smaller ones, by bands of other hashes."""
+        texts = self._texts(rows.select("node").distinct().join(self.nodes, "node"))
+        bands = materialize(texts.mapInArrow(_band_batches(level), "node long, _bands array<long>"), "near-bands")
+        own = rows.drop("m").join(bands, "node").withColumn("_band", F.explode("_bands")).drop("_bands")
+        return own.withColumn("bucket", F.xxhash64("bucket", "_band")).drop("_band")
+
+    def run(self, largest: int, levels: int) -> DataFrame:
+        """Links (a, b) whose components are those of all similar pairs that meet in a bucket."""
+        rows = self.nodes.withColumn("comp", F.col("node")).select("node", "n", "comp", *_SIM, F.explode("bands").alias("bucket"))
+        for level in range(levels + 1):
+            rows = self.open(rows)
+            small, large = rows.filter(F.col("m") <= largest), rows.filter(F.col("m") > largest)
+            self.judge(self.compare(small, 2).unionByName(self.lead(large)))
+            labelled = self.open(self.labelled(rows).select(*rows.columns))
+            small, large = labelled.filter(F.col("m") <= largest), labelled.filter(F.col("m") > largest)
+            if labelled.isEmpty():
+                break
+            done = large.isEmpty()
+            pairs = self.compare(small, 0)
+            self.judge(pairs.unionByName(self.rest(large)) if level == levels and not done else pairs)
+            if done:
                 break
-    return links
+            rows = self.deal(large, level + 1)
+        return self.links
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: int = BUCKET, levels: int = LEVELS) -> DataFrame:
     """The row key, _id, _fp, component_id and kept of each row, as simhash_groups has them.
 
     Words are lowered and split at white space; a text of less than five words is one shingle. Null
@@ -147,8 +300,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     workers(docs.sparkSession)
     own = keyed(docs, _id=column(id_col), _text=column(text_col).cast("binary")).select(*KEY, "_id", "_text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema[:-1])
-    prints = materialize(own.mapInArrow(_band_batches, f"{fields}, _fp long, _n long, _bands array<long>"), "near-prints")
-    return members(prints.drop("_n", "_bands"), lambda _: similar_links(prints, own))
+    sims = ", ".join(f"{k} long" for k in _SIM)
+    prints = materialize(own.mapInArrow(_print_batches, f"{fields}, _fp long, _n long, {sims}, _bands array<long>"), "near-prints")
+    return members(prints.select(*KEY, "_id", "_fp"), lambda _: Similar(prints, own).run(largest, levels))
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:

@@ -218,8 +218,11 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFra
     Keys that more than one in HOT of all rows share are fewer than HOT, so their part of the
     table is broadcast and no task gets all their rows; only the others are shuffled.
     """
-    total = table.agg(F.sum(n)).first()[0] or 0
-    hot = F.col(n) > max(total // HOT, 256)
+    total, most = table.agg(F.sum(n), F.max(n)).first()
+    least = max((total or 0) // HOT, 256)
+    if (most or 0) <= least:
+        return rows.join(table, key)
+    hot = F.col(n) > least
     many = F.broadcast(table.filter(hot))
     rest = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti")
     return rows.join(many, key).unionByName(rest.join(table.filter(~hot), key))

@@ -95,9 +95,18 @@ def piece_hashes(text: bytes, n: int) -> Iterator[np.ndarray]:
         yield _hashes(words([before]), n)
 
 
+def majority(h: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """The SimHash of each text's number[i] hashes; that of none is 0."""
+    return _voted(bit_counts(h, number), number)
+
+
+def _voted(counts: np.ndarray, number: np.ndarray) -> np.ndarray:
+    set_ = (2 * counts > number[:, None]).astype(np.uint8)
+    return np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel() if len(number) else np.zeros(0, np.uint64)
+
+
 def fingerprints(texts: list[bytes], n: int = SHINGLE) -> np.ndarray:
     """The SimHash of each text; that of a text without words is 0."""
-    out = np.zeros(len(texts), np.uint64)
     w = words([t.lower() if len(t) <= PIECE_BYTES else b"" for t in texts])
     start, end, number = _shingles(w, n)
     counts = bit_counts(xxh64(w.buf, start, end), number)
@@ -105,10 +114,7 @@ def fingerprints(texts: list[bytes], n: int = SHINGLE) -> np.ndarray:
         for h in piece_hashes(texts[i].lower(), n):
             counts[i] += bit_counts(h, np.array([len(h)]))[0]
             number[i] += len(h)
-    set_ = (2 * counts > number[:, None]).astype(np.uint8)
-    if len(texts):
-        out[:] = np.packbits(set_, axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+    return _voted(counts, number)
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -122,13 +128,15 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], [*batch.schema.names[:-1], "_fp"])
 
 
-def linked(bucket: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """For each row, the first row that a chain of links joins it to; rows are sorted by bucket."""
-    n = len(fp)
-    label = np.arange(n)
+def near_rows(bucket: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of one bucket that differ in `radius` bits at most, by distance in the table; rows are sorted by bucket.
+
+    fp: a word or several for each row.
+    """
+    fp = fp.reshape(len(fp), -1)
     size = 1
-    rows = label
-    for d in range(1, n):
+    rows = np.arange(len(fp))
+    for d in range(1, len(fp)):
         if d >= size:  # twice as far, with the rows only of buckets that reach as far
             edge = np.flatnonzero(np.concatenate([[True], bucket[rows][1:] != bucket[rows][:-1]]))
             length = np.diff(np.concatenate([edge, [len(rows)]]))
@@ -141,9 +149,16 @@ def linked(bucket: np.ndarray, fp: np.ndarray) -> np.ndarray:
         same[:-d] = own[:-d] == own[d:]
         if not same.any():
             continue
-        i = _near(planes, _packed(same), d)
+        i = _near(planes, _packed(same), d, radius)
         if len(i):
-            _union(label, rows[i], rows[i + d])
+            yield rows[i], rows[i + d]
+
+
+def linked(bucket: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """For each row, the first row that a chain of links joins it to; rows are sorted by bucket."""
+    label = np.arange(len(fp))
+    for i, j in near_rows(bucket, fp, RADIUS):
+        _union(label, i, j)
     return label
 
 
@@ -157,31 +172,38 @@ def _packed(bits: np.ndarray) -> np.ndarray:
 
 def _planes(fp: np.ndarray) -> list[np.ndarray]:
     """Bit plane k holds bit k of every fingerprint; a second spare word ends it."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return [np.concatenate([_packed(np.ascontiguousarray(bits[:, k])), [np.uint64(0)]]) for k in range(64)]
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+    return [np.concatenate([_packed(np.ascontiguousarray(bits[:, k])), [np.uint64(0)]]) for k in range(bits.shape[1])]
 
 
-def _near(planes: list[np.ndarray], active: np.ndarray, d: int) -> np.ndarray:
-    """Those active rows i that differ from row i + d in RADIUS bits at most."""
+def _near(planes: list[np.ndarray], active: np.ndarray, d: int, radius: int) -> np.ndarray:
+    """Those active rows i that differ from row i + d in `radius` bits at most.
+
+    counters[k] holds bit k of 64 distances a word; they start so that the count after `radius` overflows.
+    """
     word, low = d // 64, np.uint64(d % 64)
     high = np.uint64(64) - low
     at = np.flatnonzero(active)
-    mask = active[at]
+    over = ~active[at]
     top = len(planes[0]) - 1
-    ones, twos, over = np.zeros_like(mask), np.zeros_like(mask), ~mask
+    width = radius.bit_length()
+    start = (1 << width) - 1 - radius
+    every = np.uint64(2**64 - 1)
+    counters = [np.full(len(at), every if start >> k & 1 else np.uint64(0)) for k in range(width)]
     for k, plane in enumerate(planes):
         other = plane[np.minimum(at + word, top)]
         if low:
             other = (other >> low) | (plane[np.minimum(at + word + 1, top)] << high)
-        x = plane[at] ^ other
-        carry = ones & x
-        ones ^= x
-        over |= twos & carry
-        twos ^= carry
+        carry = plane[at] ^ other
+        for c in counters:
+            both = c & carry
+            c ^= carry
+            carry = both
+        over |= carry
         if k % 8 == 7:
             alive = np.flatnonzero(~over)
             if len(alive) < len(at):
-                at, mask, ones, twos, over = at[alive], mask[alive], ones[alive], twos[alive], over[alive]
+                at, over, counters = at[alive], over[alive], [c[alive] for c in counters]
             if not len(at):
                 return at
     bits = np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -2,11 +2,12 @@ import random
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from sparkpact.llm import near_copies
-from sparkpact.llm.near_copies import drop_similar, similar_groups
+from sparkpact.llm.near_copies import similar_groups
 from sparkpact.llm.shared import materialize
 
 
@@ -45,23 +46,39 @@ def test_stage_of_the_pipeline_on_planted_copies(spark, sf_dir):
     assert {1, 6} <= set(got) and not {145, 177} & set(got)
 
 
-@pytest.mark.parametrize("leaders", [0, 1, 2])
-def test_chains_and_groups(spark, monkeypatch, leaders):
-    monkeypatch.setattr(near_copies.similar_links, "__defaults__", (leaders,))
-    rng = random.Random(leaders)
+@pytest.mark.parametrize(("largest", "levels"), [(256, 3), (4, 1)])
+def test_chains_and_groups(spark, largest, levels):
+    rng = random.Random(largest)
     word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
     texts = ["", None, "a", "A", "a b c d", "a b c d e"]
-    for _ in range(4):
+    for _ in range(3):
         chain = [word() for _ in range(100)]
         for _ in range(12):  # each a step from a text before it, far from the first
             chain = list(chain)
             chain[rng.randrange(100)] = word()
             texts.append(" ".join(chain))
-    texts += [" ".join([word() for _ in range(40)]) for _ in range(20)]
+    passage = " ".join(word() for _ in range(60))
+    texts += [" ".join([word() for _ in range(40)]) for _ in range(20)] + [passage + " " + " ".join([word() for _ in range(40)]) for _ in range(20)]
     df = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "near-test")
-    rows = similar_groups(df).collect()
+    rows = similar_groups(df, largest=largest, levels=levels).collect()
     assert {r["_id"]: r["component_id"] for r in rows} == dict(enumerate(components(texts)))
-    assert drop_similar(df).count() == len(set(components(texts)))
+
+
+def test_pairs_by_brute_force():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, (6, 4), dtype=np.uint64)
+    sim = base[rng.integers(0, 6, 200)]
+    for _ in range(60):
+        sim[np.arange(200), rng.integers(0, 4, 200)] ^= np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)
+    bucket, n, comp = np.sort(rng.integers(0, 9, 200)), rng.integers(8, 12, 200), rng.integers(0, 30, 200)
+    far = np.bitwise_count(sim[:, None] ^ sim[None]).sum(axis=2)
+    fits = (bucket[:, None] == bucket) & (comp[:, None] != comp) & (far <= near_copies.RADIUS) & (5 * np.minimum(n[:, None], n) >= 4 * np.maximum(n[:, None], n))
+    i, j = near_copies.near_pairs(bucket, sim, n, comp, 0)
+    want = {(a, b) for a, b in zip(*np.nonzero(fits), strict=True) if a < b}
+    assert len(want) > 50 and set(zip(i.tolist(), j.tolist(), strict=True)) == want
+    i, j = near_copies.near_pairs(bucket, sim, n, comp, 2)
+    some = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert some < want and {a for p in some for a in p} == {a for p in want for a in p}
 
 
 def test_long_texts_in_pieces(monkeypatch):
