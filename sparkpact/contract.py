@@ -15,7 +15,8 @@ from .operators import columns, typed
 from .operators.evaluate import Violation, check_text
 from .plans.schema import Compiler, Schema, check_compiled
 from .plans.wire import PathDecoder, QueryDecoder, Wire, decoders
-from .sources.document import ContractError, Document
+from .sources.admission import admit
+from .sources.document import Document, identifier
 
 
 @dataclass
@@ -65,6 +66,10 @@ class Contract:
     def __iter__(self) -> Iterator[str]:
         return iter(self.requests)
 
+    def identifiers(self) -> dict[str, str]:
+        """A distinct name of letters, digits and underscores for each operation, for views, say, or files."""
+        return {identifier(name): name for name in self.requests}
+
     # saved contracts
     def to_json(self) -> str:
         """Every shared schema once, and what refers to it by number."""
@@ -164,8 +169,7 @@ def compile_contract(text: str | bytes, reject_non_ascii: bool = False, use_nati
     are the JVM's own and match code points.
     """
     document = Document(text)
-    for word, at in _everywhere(document.root.value, "#"):
-        raise ContractError(at, f"{word} is not supported")
+    admit(document)
     out = {}
     for name, op in sorted(document.operations().items()):
         compiler = Compiler(document, reject_non_ascii=reject_non_ascii, use_native=use_native)
@@ -176,24 +180,3 @@ def compile_contract(text: str | bytes, reject_non_ascii: bool = False, use_nati
         check_compiled(list(compiler.done.values()))
         out[name] = request
     return Contract(out)
-
-
-def _everywhere(value: Any, at: str) -> Iterator[tuple[str, str]]:
-    """Excluded schema keywords of all components' schemas, reachable or not."""
-    schemas = value.get("components", {}) if isinstance(value, dict) else {}
-    schemas = schemas.get("schemas", {}) if isinstance(schemas, dict) else {}
-    todo = [(s, f"{at}/components/schemas/{n}") for n, s in schemas.items()] if isinstance(schemas, dict) else []
-    while todo:
-        s, pointer = todo.pop()
-        if not isinstance(s, dict):
-            continue
-        for word in ("uniqueItems", "discriminator"):
-            if word in s:
-                yield word, f"{pointer}/{word}"
-        for word in ("items", "additionalProperties", "not"):
-            todo.append((s.get(word), f"{pointer}/{word}"))
-        for word in ("allOf", "anyOf", "oneOf"):
-            if isinstance(s.get(word), list):
-                todo += [(x, f"{pointer}/{word}/{i}") for i, x in enumerate(s[word])]
-        if isinstance(s.get("properties"), dict):
-            todo += [(x, f"{pointer}/properties/{n}") for n, x in s["properties"].items()]

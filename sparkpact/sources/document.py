@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import keyword
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -19,7 +20,7 @@ PARAMETER_FIELDS = {
     "name", "in", "description", "required", "deprecated", "allowEmptyValue", "style", "explode", "allowReserved",
     "schema", "example", "examples", "content",
 }
-OPERATION_ID = re.compile("[A-Za-z][A-Za-z0-9_/-]*")
+OPERATION_ID = re.compile("[A-Za-z](?:[_/-]?[A-Za-z0-9])*")
 _TOKEN = re.compile(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 
 
@@ -141,6 +142,14 @@ def _plain(node: Any, above: set[int]) -> Any:
     return node.value
 
 
+def identifier(operation_id: str) -> str:
+    """A name of letters, digits and underscores for an operationId; different ids have different names."""
+    if not OPERATION_ID.fullmatch(operation_id):
+        raise ContractError("#", f"{operation_id!r} is no operationId")
+    name = re.sub("[_/-]", lambda m: {"_": "__", "-": "_0", "/": "_1"}[m[0]], operation_id)
+    return f"_x{name}" if keyword.iskeyword(name) else name
+
+
 def template_parts(template: str) -> tuple[str, list[str]]:
     """(the template with its names left out, the names in order)."""
     where = f"#/paths/{escape_token(template)}"
@@ -237,14 +246,19 @@ class Document:
             if shape in shapes:
                 raise ContractError(paths.child(path).pointer, f"identical to template {shapes[shape]}")
             shapes[shape] = path
-            self._item(paths.child(path))
+            self.path_item(paths.child(path))
         return paths
 
-    def _item(self, item: Located) -> None:
+    def path_item(self, item: Located) -> None:
         for name in item.members("Path Item"):
             if name not in ITEM_FIELDS and not name.startswith("x-"):
                 raise ContractError(f"{item.pointer}/{escape_token(name)}", "unsupported Path Item field")
 
+    def reference_alone(self, item: Located) -> None:
+        """A Path Item's reference has no fields beside it."""
+        if isinstance(item.value, dict) and "$ref" in item.value and any(n != "$ref" and not n.startswith("x-") for n in item.value):
+            raise ContractError(f"{item.pointer}/$ref", "fields beside a Path Item's reference have no defined meaning")
+
     def operations(self) -> dict[str, Operation]:
         """By operationId, over sorted paths and methods."""
         out: dict[str, Operation] = {}
@@ -253,7 +267,7 @@ class Document:
                 continue
             _, names = template_parts(path)
             item = self.resolve(self._paths.child(path))
-            self._item(item)
+            self.path_item(item)
             shared = self._parameters(item)
             for (name, where), p in shared.items():
                 if where == "path" and name not in names:

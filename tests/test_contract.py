@@ -284,3 +284,90 @@ def test_edited_contract_is_refused(change):
     data["schemas"][0] |= change
     with pytest.raises(ContractError):
         Contract.from_json(json.dumps(data))
+
+
+def document(text="", **more):
+    return json.loads(text) if text else {"openapi": "3.0.3", "paths": {}, **more}
+
+
+def operation(**op):
+    return document(paths={"/things": {"post": {"operationId": "things", **op}}})
+
+
+BAD = {"uniqueItems": False}
+JSON_BAD = {"application/json": {"schema": BAD}}
+
+
+@pytest.mark.parametrize(
+    ("doc", "pointer"),
+    [
+        (document(components={"schemas": {"a/b~c": BAD}}), "#/components/schemas/a~1b~0c/uniqueItems"),
+        (operation(responses={"200": {"description": "ok", "content": JSON_BAD}}), "#/paths/~1things/post/responses/200/content/application~1json/schema/uniqueItems"),
+        (
+            operation(callbacks={"event": {"{$request.body#/url}": {"post": {"operationId": "callback", "requestBody": {"content": JSON_BAD}}}}}),
+            "#/paths/~1things/post/callbacks/event/{$request.body#~1url}/post/requestBody/content/application~1json/schema/uniqueItems",
+        ),
+        (document(components={"parameters": {"p": {"name": "p", "in": "query", "schema": BAD}}}), "#/components/parameters/p/schema/uniqueItems"),
+        (document(components={"headers": {"h": {"content": JSON_BAD}}}), "#/components/headers/h/content/application~1json/schema/uniqueItems"),
+        (operation(responses={"200": {"headers": {"h": {"schema": BAD}}}}), "#/paths/~1things/post/responses/200/headers/h/schema/uniqueItems"),
+        (operation(requestBody={"content": {"multipart/form-data": {"encoding": {"f": {"headers": {"h": {"schema": BAD}}}}}}}), "encoding/f/headers/h/schema/uniqueItems"),
+        (document(components={"schemas": {"a": {"oneOf": [{"not": BAD}]}}}), "#/components/schemas/a/oneOf/0/not/uniqueItems"),
+        (document(components={"schemas": {"a": {"discriminator": {}, "oneOf": []}}}), "#/components/schemas/a/oneOf"),
+        (document(components={"schemas": {"a": {"properties": {"b": {"discriminator": {}}}}}}), "#/components/schemas/a/properties/b/discriminator"),
+        (document(components={"schemas": {"a": {"$ref": "other.yaml#/a"}}}), "#/components/schemas/a"),
+        (document(components={"schemas": {"a": {"items": {"$ref": "#/components/schemas/a"}}}}), "#/components/schemas/a"),
+        (document(components={"schemas": {"a": {"$ref": "#/components/schemas/b"}, "b": {"$ref": "#/components/schemas/a"}}}), "cyclic"),
+        (document(components={"schemas": {"a": []}}), "#/components/schemas/a"),
+        (document(components={"callbacks": {"c": {"{$url}": {"fetch": {}}}}}), "#/components/callbacks/c/{$url}/fetch"),
+        (document(components={"callbacks": {"c": {"{$url}": {"$ref": "#/paths/~1a", "get": {}}}}, "schemas": {}}), "#/components/callbacks/c/{$url}/$ref"),
+        (operation(callbacks=[]), "#/paths/~1things/post/callbacks"),
+        (operation(callbacks={"c": {"x": {"get": []}}}), "#/paths/~1things/post/callbacks/c/x/get"),
+        (document(paths={"/a": {"parameters": {}}}), "#/paths/~1a/parameters"),
+        (document(components={"links": {"l": {"$ref": "#/components/links/m"}}}), "#/components/links/m"),
+        (document(components={"examples": {"l": {"$ref": "#/components/examples/m"}}}), "#/components/examples/m"),
+        (document(components={"securitySchemes": {"l": {"$ref": "#/components/securitySchemes/m"}}}), "#/components/securitySchemes/m"),
+    ],
+)
+def test_excluded_anywhere(doc, pointer):
+    with pytest.raises(ContractError) as e:
+        compile_contract(json.dumps(doc))
+    assert pointer in str(e.value)
+
+
+@pytest.mark.parametrize("kind", ["schemas", "parameters", "requestBodies", "responses", "headers", "callbacks"])
+def test_dangling_references_anywhere(kind):
+    with pytest.raises(ContractError, match=f"#/components/{kind}/Missing"):
+        compile_contract(json.dumps(document(components={kind: {"Broken": {"$ref": f"#/components/{kind}/Missing"}}})))
+    with pytest.raises(ContractError, match="#/components/schemas/Missing"):
+        compile_contract(json.dumps(document(components={"responses": {"b": {"content": {"application/json": {"schema": {"$ref": "#/components/schemas/Missing"}}}}}})))
+
+
+def test_admitted_documents():
+    chain = {f"r{i}": {"$ref": f"#/components/responses/r{i + 1}"} for i in range(64)} | {"r64": {"description": "last"}}
+    deep = {}
+    for _ in range(2000):
+        deep = {"items": deep}
+    parts = {
+        "schemas": {"a": {"properties": {"uniqueItems": {}, "discriminator": {}}, "example": {"uniqueItems": True}, "default": {"$ref": "x"}}, "deep": deep},
+        "responses": chain, "examples": {"e": {"value": {"uniqueItems": True, "$ref": "x"}}}, "x-own": {"uniqueItems": True},
+        "callbacks": {"c": {"x-note": 1, "{$url}": {"$ref": "#/paths/~1a"}}},
+    }
+    import sys
+
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(20000)  # json.dumps recurs, the walk does not
+    try:
+        text = json.dumps(document(paths={"/a": {"get": {"operationId": "a-b/c_d", "responses": {"x-a": 1}}}}, components=parts))
+    finally:
+        sys.setrecursionlimit(limit)
+    assert compile_contract(text).identifiers() == {"a_0b_1c__d": "a-b/c_d"}
+
+
+def test_identifiers():
+    from sparkpact.sources.document import identifier
+
+    names = ["a_b", "a-b", "a/b", "ab", "a0b", "class", "a-0b", "x_class", "a1/b", "a/1b"]
+    assert len({identifier(n) for n in names}) == len(names) and all(identifier(n).isidentifier() for n in names)
+    for bad in ("", "1a", "a__b", "a-", "a.b", "é"):
+        with pytest.raises(ContractError):
+            identifier(bad)
