@@ -8,8 +8,10 @@ stack, so depth is bounded by memory alone.
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from fractions import Fraction
 from functools import total_ordering
@@ -280,6 +282,35 @@ class _Reader:
                 return root[0]
 
 
+def make_number(text: str) -> Num:
+    """A JSON number from its text."""
+    return Num.parse(text)
+
+
+def make_string(text: str) -> str:
+    """A JSON string; lone surrogates are refused."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        raise JSONError("lone surrogate in a string") from None
+    return text
+
+
+def make_array(values: Iterable[Any]) -> list:
+    """A JSON array that shares no list or object with its elements."""
+    return [copy.deepcopy(v) for v in values]
+
+
+def make_object(members: Iterable[tuple[str, Any]]) -> dict:
+    """A JSON object from names and values; repeated names are refused."""
+    out: dict[str, Any] = {}
+    for name, value in members:
+        if make_string(name) in out:
+            raise JSONError(f"duplicate member {name!r}")
+        out[name] = copy.deepcopy(value)
+    return out
+
+
 def parse(text: str | bytes) -> Any:
     """The value of strict JSON text."""
     if isinstance(text, bytes):

@@ -23,6 +23,7 @@ _HOUR = "(?:[01][0-9]|2[0-3])"
 _UUID = "[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-4[0-9A-Fa-f]{3}-[89ABab][0-9A-Fa-f]{3}-[0-9A-Fa-f]{12}"
 _CIDR = f"{_IPV4}/(?:3[0-2]|[12][0-9]|[0-9])"
 
+# The grammar of addresses in RFC 5321 and RFC 4291.
 _ATOM = "[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+"
 _LOCAL = rf'(?:{_ATOM}(?:\.{_ATOM})*|"(?:[\x20\x21\x23-\x5B\x5D-\x7E]|\\[\x20-\x7E])*")'
 _LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"

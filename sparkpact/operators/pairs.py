@@ -25,10 +25,15 @@ def raw_path(url: Column) -> Column:
     return F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def _times(text: Column, part: str) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
+
+
 def unescaped(raw: Column, plus: bool) -> Column:
     """Percent-decoded text; null if an escape is malformed or the result is not UTF-8."""
     text = F.try_url_decode(raw if plus else F.replace(raw, F.lit("+"), F.lit("%2B")))
-    lossy = F.contains(text, F.lit("�")) & ~F.contains(F.upper(raw), F.lit("%EF%BF%BD")) & ~F.contains(raw, F.lit("�"))
+    # decoding puts a U+FFFD for whatever is not UTF-8, so there are more of them than were spelled
+    lossy = _times(text, "\ufffd") > _times(F.upper(raw), "%EF%BF%BD") + _times(raw, "\ufffd")
     return F.when(raw.rlike("%(?![0-9A-Fa-f]{2})") | lossy, F.lit(None)).otherwise(text)
 
 

@@ -2,7 +2,7 @@
 
 A row is an object and a column a property. A null column is an absent property (so
 `required` speaks, `type` does not), or with null_as='null' a JSON null. Numbers are
-compared as exact decimals; doubles stand for the shortest text that names them.
+compared exactly (see operators.numeric); doubles stand for the shortest text that names them.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from pyspark.sql import types as T
 from ..functions.exact import Num, escape_token
 from ..functions.formats import format_column
 from ..plans.schema import Schema
-
-WIDE = "decimal(38,12)"
+from .numeric import Number
 
 
 @dataclass
@@ -40,21 +39,6 @@ def _kind(t: T.DataType) -> str:
     return "number" if isinstance(t, T.NumericType) else "string"
 
 
-def _decimal(c: Column, t: T.DataType) -> Column:
-    if isinstance(t, (T.DoubleType, T.FloatType)):
-        return c.cast("string").cast(WIDE)  # by its shortest text: 0.1 is 0.1
-    return c.cast(WIDE)
-
-
-def _exact(c: Column, t: T.DataType) -> Column:
-    """A column to compare with literals exactly: integers as they are, others as decimals."""
-    return c if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)) else _decimal(c, t)
-
-
-def _literal(n: Num) -> Column:
-    return F.lit(n.lexeme).cast("decimal(38,12)") if -12 <= n.exp and n.mag <= 26 else F.lit(float(n.lexeme))
-
-
 def _count(n: Num) -> int:
     """A count's bound, as far as a count can reach."""
     return min(int(n.digits) * 10 ** min(n.exp, 19), 2**62)
@@ -70,11 +54,13 @@ def rules(s: Schema, value: Column, kind: T.DataType, at: Column, null_as: str)
         out.append(Rule(pointer, s.pointer, keyword, F.coalesce(test, F.lit(False))))
 
     own = _kind(kind)
+    x = Number(value, kind) if own == "number" else None
     if s.type:
-        if own == "number" and s.type == "integer":
-            if not isinstance(kind, T.IntegralType):
-                x = _decimal(value, kind)
-                add("type", x != F.floor(x))
+        if own == "number" and s.type in ("integer", "number"):
+            if s.type == "integer" and not isinstance(kind, T.IntegralType):
+                add("type", ~x.finite | ~x.is_integer())
+            elif x.binary:
+                add("type", ~x.finite)
         elif own != s.type:
             add("type", F.lit(True))
         if null_as == "null" and not s.nullable:
@@ -84,28 +70,27 @@ def rules(s: Schema, value: Column, kind: T.DataType, at: Column, null_as: str)
         if not allowed:
             add("enum", F.lit(True))
         elif own == "number":
-            x = _exact(value, kind)
-            add("enum", ~x.isin([_literal(v) for v in allowed]))
+            add("enum", ~_any([x.equals(v) for v in allowed]))
         elif own in ("string", "boolean"):
             add("enum", ~value.isin(allowed))
         if null_as == "null" and not any(v is None for v in s.enum):
             add("enum", value.isNull(), base=None)
     if own == "number":
-        x = _exact(value, kind)
+        # what is no JSON number breaks no rule of numbers
+        number = lambda keyword, broken: add(keyword, x.finite & broken if x.binary else broken)
         if s.minimum is not None:
-            low = _literal(s.minimum)
-            add("exclusiveMinimum" if s.exclusive_minimum else "minimum", x <= low if s.exclusive_minimum else x < low)
+            number("exclusiveMinimum" if s.exclusive_minimum else "minimum", x.below(s.minimum, s.exclusive_minimum))
         if s.maximum is not None:
-            high = _literal(s.maximum)
-            add("exclusiveMaximum" if s.exclusive_maximum else "maximum", x >= high if s.exclusive_maximum else x > high)
+            number("exclusiveMaximum" if s.exclusive_maximum else "maximum", x.above(s.maximum, s.exclusive_maximum))
         if s.multiple_of is not None:
-            add("multipleOf", _decimal(value, kind) % _literal(s.multiple_of) != 0)
+            number("multipleOf", ~x.is_multiple_of(s.multiple_of))
         if s.number_format in ("int32", "int64"):
-            bits = int(s.number_format[3:])
-            d = _decimal(value, kind)
-            add("format", (d != F.floor(d)) | (d < F.lit(-(2 ** (bits - 1))).cast("decimal(20,0)")) | (d > F.lit(2 ** (bits - 1) - 1)))
+            edge = 2 ** (int(s.number_format[3:]) - 1)
+            number("format", ~x.is_integer() | x.below(Num.of(-edge), False) | x.above(Num.of(edge - 1), False))
         elif s.number_format == "float":
-            add("format", F.abs(value.cast("double")) >= F.lit(float(2**128 - 2**103)))
+            number("format", x.below(Num.of(-(2**128 - 2**103)), True) | x.above(Num.of(2**128 - 2**103), True))
+        elif s.number_format == "double":
+            number("format", F.lit(False))  # a finite column has no number beyond a double
     elif own == "string":
         text = value.cast("string")
         if s.min_length is not None:
@@ -135,6 +120,13 @@ def _same_kind(v: object, own: str) -> bool:
     return {"number": isinstance(v, Num), "string": isinstance(v, str), "boolean": isinstance(v, bool)}.get(own, False)
 
 
+def _any(tests: list[Column]) -> Column:
+    found = tests[0]
+    for t in tests[1:]:
+        found = found | t
+    return found
+
+
 def _all_fail(branches: list[list[Rule]]) -> Column:
     found = F.lit(True)
     for b in branches:

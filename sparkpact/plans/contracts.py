@@ -28,6 +28,7 @@ components:
         l_linestatus: {allOf: [{$ref: '#/components/schemas/flag'}, {pattern: '^[OP]$'}]}
     order:
       type: object
+      required: [o_orderstatus]
       properties:
         o_orderpriority: {type: string, enum: [1-URGENT, 2-HIGH, 3-MEDIUM, 2-HIGH]}
         o_orderstatus: {type: string, enum: [O, F]}
@@ -56,6 +57,11 @@ components:
         text: {type: string, minLength: 100, maxLength: 5000}
         lang: {type: string, pattern: '^(?!fr)[a-z]{2}$'}
         source: {type: string, pattern: '^src\d$'}
+    edge:
+      type: object
+      properties:
+        x: {type: number, format: double, minimum: 0, exclusiveMinimum: true, maximum: 1.0e+29, multipleOf: 0.05}
+        n: {type: integer}
     props:
       type: object
       required: [k]
@@ -77,6 +83,7 @@ paths:
   /order: {post: {operationId: order, requestBody: {content: {application/json: {schema: {$ref: '#/components/schemas/order'}}}}}}
   /part: {post: {operationId: part, requestBody: {content: {application/json: {schema: {$ref: '#/components/schemas/part'}}}}}}
   /customer: {post: {operationId: customer, requestBody: {content: {application/json: {schema: {$ref: '#/components/schemas/customer'}}}}}}
+  /edge: {post: {operationId: edge, requestBody: {content: {application/json: {schema: {$ref: '#/components/schemas/edge'}}}}}}
   /embedding: {post: {operationId: embedding, requestBody: {content: {application/json: {schema: {$ref: '#/components/schemas/embedding'}}}}}}
   /document: {post: {operationId: document, requestBody: {content: {application/json: {schema: {$ref: '#/components/schemas/document'}}}}}}
   /props: {post: {operationId: props, requestBody: {required: true, content: {application/*: {schema: {$ref: '#/components/schemas/props'}}}}}}

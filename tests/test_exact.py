@@ -83,3 +83,15 @@ def test_nodes():
         ("#/z~1y/0", "boolean", "true", "#/z~1y/*"),
         ("#/z~1y/1", "string", "t", "#/z~1y/*"),
     ]
+
+
+def test_constructors():
+    from sparkpact.functions.exact import JSONError, canonical, make_array, make_number, make_object, make_string
+
+    inner = [make_number("1.0"), None]
+    value = make_object([("b", make_array([True, inner])), ("a", make_string("é"))])
+    inner.append(False)  # what was made stays as it was
+    assert canonical(value) == '{"a":"é","b":[true,[1,null]]}' or canonical(value) == '{"b":[true,[1,null]],"a":"é"}'
+    for bad in (lambda: make_object([("a", 1), ("a", 2)]), lambda: make_string("\ud800"), lambda: make_object([("\udfff", 1)]), lambda: make_number("01")):
+        with pytest.raises(JSONError):
+            bad()
