@@ -1,15 +1,15 @@
 """SimHash near-dedup of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 at least.
 
 A wide SimHash of the set, WORDS_ words of bits, tells apart what 64 bits can't: at 0.8 two texts differ in 39 of
-256 bits on average, in more than RADIUS with probability 1e-8. Texts meet in buckets, which here are
-bands of ROWS least shingle hashes: two texts of similarity s share none of BANDS bands with probability
-(1 - s^ROWS)^BANDS, 6e-7 at 0.8. Within a bucket they are compared by bit planes, as in op9, and pairs
-within the radius are judged exactly by their sets. Texts with equal sets are one node.
-
-Only pairs of different components need judging. A bucket of BUCKET nodes at most first judges each node's
-nearest two of other components, and then all pairs that are still apart. A larger one first compares its
-nodes with a leader, which joins large groups of copies. If there are several components then, it is
-dealt anew by bands of other hashes, so that texts which share no more than a frequent passage part. What
+256 bits on average, in more than RADIUS with probability 5e-6. Small sets vary more and have SMALL_RADIUS. Texts
+meet in buckets, which here are bands of ROWS least shingle hashes: two texts of similarity s share none of BANDS
+bands with probability (1 - s^ROWS)^BANDS, 6e-7 at 0.8. Within a bucket they are compared by bit planes, as in
+op9, and pairs within the radius are judged exactly by their sets. Texts with equal sets are one node.
+
+Only pairs of different components need judging. At first each node of a bucket of FEW nodes at most is judged
+with its nearest two, and the nodes of a larger one with a leader, which joins large groups of copies. Then the
+pairs that are still apart are compared. A bucket of more than BUCKET nodes which are not all one component
+is dealt anew by bands of other hashes, so that texts which share no more than a frequent passage part. What
 is large after LEVELS such turns is compared, but for its largest component's own pairs, whole.
 """
 
@@ -30,10 +30,12 @@ from .textops import BLOCK_BYTES, blocks, byte_sizes, mixed, words, xxh64
 
 SHINGLE = 5
 BANDS, ROWS = 20, 3
-#: Words of a fingerprint, and bits that near copies may differ in.
-WORDS_, RADIUS = 4, 72
-#: Nodes of a bucket that are compared by bit planes, and those compared together.
-BUCKET, CHUNK = 256, 1 << 13
+#: Words of a fingerprint, and bits that near copies may differ in; sets of less than SMALL shingles may in more.
+WORDS_, RADIUS, SMALL, SMALL_RADIUS = 4, 64, 40, 80
+#: Nodes of a bucket that are compared by shifts of all buckets' planes, and by planes of its own; rows shifted together.
+FEW, BUCKET, CHUNK = 64, 1 << 12, 1 << 15
+#: Nodes of a bucket that are compared with all others at a time.
+TOGETHER = 256
 #: Times that large buckets are dealt anew.
 LEVELS = 3
 
@@ -129,17 +131,69 @@ def _band_batches(level: int):
     return bands
 
 
-def near_pairs(bucket: np.ndarray, sim: np.ndarray, n: np.ndarray, comp: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+def dense_rows(fp: np.ndarray, comp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of one bucket's nodes of different components that differ in `radius` bits at most.
+
+    Each node outside the largest component is laid over all bit planes at once: a block holds its distances to 64 others,
+    in carry-save counters that start so that the count after `radius` overflows. Blocks all of whose distances have
+    overflowed are abandoned.
+    """
+    n = len(fp)
+    names, of, size = np.unique(comp, return_inverse=True, return_counts=True)
+    main = of == size.argmax()
+    few = np.flatnonzero(~main)
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+    words_ = (n + 63) // 64
+    packed = np.zeros((bits.shape[1], words_ * 8), np.uint8)
+    packed[:, : (n + 7) // 8] = np.packbits(bits.T, axis=1, bitorder="little")
+    planes = packed.view(np.uint64)
+    every = np.uint64(2**64 - 1)
+    width = radius.bit_length()
+    start = (1 << width) - 1 - radius
+    beyond = np.zeros(words_, np.uint64)
+    if n % 64:
+        beyond[-1] = every << np.uint64(n % 64)
+    for lo in range(0, len(few), TOGETHER):
+        rows = few[lo : lo + TOGETHER]
+        own = np.where(bits[rows] > 0, every, np.uint64(0))
+        at, word = (x.ravel() for x in np.indices((len(rows), words_)))
+        over = np.tile(beyond, len(rows))
+        counters = [np.full(len(at), every if start >> k & 1 else np.uint64(0)) for k in range(width)]
+        for k in range(len(planes)):
+            carry = planes[k][word] ^ own[at, k]
+            for c in counters:
+                both = c & carry
+                c ^= carry
+                carry = both
+            over |= carry
+            if k % 16 == 15:
+                alive = np.flatnonzero(~over)
+                if 2 * len(alive) < len(at):
+                    at, word, over, counters = at[alive], word[alive], over[alive], [c[alive] for c in counters]
+                if not len(at):
+                    break
+        where, bit = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        i, j = rows[at[where]], word[where] * 64 + bit
+        # both of a pair may be outside the largest component
+        keep = main[j] | (i < j)
+        yield i[keep], j[keep]
+
+
+def near_pairs(bucket: np.ndarray, sim: np.ndarray, n: np.ndarray, comp: np.ndarray, nearest: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one bucket and different components within the radius, whose sizes allow a similarity of 0.8.
 
-    nearest: only those in which one row is among the so many nearest of the other; 0: all.
+    nearest: only those in which one row is among the so many nearest of the other; 0: all. Rows are sorted by bucket.
     """
-    found = [(i, j) for i, j in _apart(near_rows(bucket, sim, RADIUS), n, comp)]
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    size = np.diff(edge)
+    small = np.flatnonzero(np.repeat(size <= few, size))
+    found = [_fitting(small[i], small[j], sim, n, comp) for i, j in near_rows(bucket[small], sim[small], SMALL_RADIUS)]
+    for lo, hi in zip(edge[:-1][size > few].tolist(), edge[1:][size > few].tolist(), strict=True):
+        found += [_fitting(lo + i, lo + j, sim, n, comp) for i, j in dense_rows(sim[lo:hi], comp[lo:hi], SMALL_RADIUS)]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
     if nearest:
-        d = np.bitwise_count(sim[i] ^ sim[j]).sum(axis=1)
         keep = np.zeros(len(i), bool)
         row, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
         order = np.lexsort((pair, np.tile(d, 2), row))
@@ -149,10 +203,14 @@ def near_pairs(bucket: np.ndarray, sim: np.ndarray, n: np.ndarray, comp: np.ndar
     return i, j
 
 
-def _apart(pairs, n: np.ndarray, comp: np.ndarray):
-    for i, j in pairs:
-        keep = (comp[i] != comp[j]) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
-        yield i[keep], j[keep]
+def _fitting(i: np.ndarray, j: np.ndarray, sim: np.ndarray, n: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those pairs that may be similar by their components and sizes, and their distances."""
+    least = np.minimum(n[i], n[j])
+    keep = (comp[i] != comp[j]) & (5 * least >= 4 * np.maximum(n[i], n[j]))
+    i, j, least = i[keep], j[keep], least[keep]
+    d = np.bitwise_count(sim[i] ^ sim[j]).sum(axis=1)
+    near = d <= np.where(least < SMALL, SMALL_RADIUS, RADIUS)
+    return i[near], j[near], d[near]
 
 
 def _pair_batches(nearest: int):
@@ -184,7 +242,7 @@ def _within(x: str, y: str) -> Column:
     """Whether two nodes may be similar, by their components, sizes and fingerprints."""
     differ = sum((F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in _SIM), F.lit(0))
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    return (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & (5 * small >= 4 * large) & (differ <= RADIUS)
+    return (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & (5 * small >= 4 * large) & (differ <= F.when(small < SMALL, SMALL_RADIUS).otherwise(RADIUS))
 
 
 class Similar:
@@ -274,8 +332,8 @@ class Similar:
         rows = self.nodes.withColumn("comp", F.col("node")).select("node", "n", "comp", *_SIM, F.explode("bands").alias("bucket"))
         for level in range(levels + 1):
             rows = self.open(rows)
-            small, large = rows.filter(F.col("m") <= largest), rows.filter(F.col("m") > largest)
-            self.judge(self.compare(small, 2).unionByName(self.lead(large)))
+            few, many = rows.filter(F.col("m") <= FEW), rows.filter(F.col("m") > FEW)
+            self.judge(self.compare(few, 2).unionByName(self.lead(many)))
             labelled = self.open(self.labelled(rows).select(*rows.columns))
             small, large = labelled.filter(F.col("m") <= largest), labelled.filter(F.col("m") > largest)
             if labelled.isEmpty():

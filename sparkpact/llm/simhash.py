@@ -133,7 +133,7 @@ def near_rows(bucket: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple
 
     fp: a word or several for each row.
     """
-    fp = fp.reshape(len(fp), -1)
+    fp = fp if fp.ndim == 2 else fp[:, None]
     size = 1
     rows = np.arange(len(fp))
     for d in range(1, len(fp)):

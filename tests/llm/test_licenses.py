@@ -60,11 +60,14 @@ def scanned(spark, texts):
 
 
 def test_sentences_with_breaks_are_compared_whole(spark):
-    gpl3, mpl = SENTENCES["gpl_free"], SENTENCES["mpl_terms"]
+    gpl3, mpl = GPL2.replace("version 2", "version 3").replace("Foundation; ", "Foundation, ").replace("software; ", "software: "), SENTENCES["mpl2_terms"]
     wrap = lambda t: re.sub(r"(.{40}\S*) ", r"\1\n", t)
-    no = [GPL2, wrap(GPL2), gpl3.replace("GNU General", "GNU Lesser General"), gpl3.replace("GNU General", "GNU Affero General"), gpl3.replace("version 3", "version 2")]
-    no += ["This program is free software. It may be redistributed.", mpl.replace("2.0", "1.1"), mpl.replace("v. 2.0", "v. x. 2.0")]
+    no = [gpl3.replace("version 3", "version 9"), gpl3.replace("GNU General", "GNU Public"), "This program is free software. All rights reserved; no license is granted."]
+    no += ["This program is free software. It may be redistributed.", mpl.replace("2.0", "1.9"), mpl.replace("v. 2.0", "v. x. 2.0"), "MIT Licensed plugins", "SPDX-License-Identifier: Other-1.0"]
     assert scanned(spark, no) == [(0, "", 0)] * len(no)
+    other = [GPL2, wrap(GPL2), gpl3.replace("GNU General", "GNU Lesser General"), gpl3.replace("GNU General", "GNU Affero General"), gpl3.replace("version 3", "version 2")]
+    other += [gpl3.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"), "SPDX-License-Identifier: LGPL-2.1-or-later", "SPDX-License-Identifier: AGPL-3.0-only\n"]
+    assert [x[1] for x in scanned(spark, other)] == ["GPL-2.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0", "GPL-2.0", "LGPL-2.1", "LGPL-2.1", "AGPL-3.0"]
     yes = [gpl3, wrap(gpl3), gpl3 + " " + SENTENCES["gpl_received"], gpl3.replace("software: ", "software:\r\n")]
     assert scanned(spark, yes) == [(1, "GPL-3.0", 0), (1, "GPL-3.0", 0), (2, "GPL-3.0", 0), (1, "GPL-3.0", 0)]
     assert scanned(spark, [mpl, mpl.replace("v. ", "v.\n"), mpl + " If a copy"]) == [(1, "MPL-2.0", 0)] * 3
@@ -79,3 +82,29 @@ def test_each_licence_is_found_by_lines_or_wrapped(spark):
     assert scanned(spark, [header + "\n\n" + wrapped, wrapped + "\n\n" + header, line + "\n" + bsd, cut]) == [
         (5, "Apache-2.0,MIT", 0), (5, "Apache-2.0,MIT", 0), (4, "BSD-2-Clause,MIT", 0), (2, "Apache-2.0", 0),
     ]
+
+
+def test_every_rule_names_its_licence(spark):
+    """A text of a rule's sentences in order gives that licence alone, by lines and wrapped."""
+    by_lines = ["\n\n".join(SENTENCES[k] for k in rule) for _, rule in RULES]
+    wrapped = [re.sub(r"(\S+ \S+ \S+ \S+) ", r"\1\n", t) for t in by_lines]
+    want = [(len(rule), name, 0) for name, rule in RULES]
+    assert scanned(spark, by_lines) == want
+    assert scanned(spark, wrapped) == want
+
+
+def test_the_other_sql_tells_licences_apart(spark, tmp_path):
+    """The registered SQL, written from literal lines, agrees on a table of lines of all its kinds."""
+    import duckdb
+
+    from sparkpact.llm.licenses import OP8_SQL, license_scan
+
+    lines = ["Released under the MIT License.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 2."]
+    texts = [f"Some words. {a}\n{b}" for a in lines for b in lines] + [f"{a}\n{a}\nx" for a in lines] + [f"It is not {a}" for a in lines] + ["", None, "license"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    documents = df.toPandas()  # noqa: F841
+    con.register("documents", documents)
+    want = {r[0]: r[1:] for r in con.execute(OP8_SQL).fetchall()}
+    got = {r["doc_id"]: (r["n_known"], r["licenses"], r["n_unmatched"]) for r in license_scan(df).collect()}
+    assert got == want

@@ -46,7 +46,7 @@ def test_stage_of_the_pipeline_on_planted_copies(spark, sf_dir):
     assert {1, 6} <= set(got) and not {145, 177} & set(got)
 
 
-@pytest.mark.parametrize(("largest", "levels"), [(256, 3), (4, 1)])
+@pytest.mark.parametrize(("largest", "levels"), [(4096, 3), (4, 1)])
 def test_chains_and_groups(spark, largest, levels):
     rng = random.Random(largest)
     word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
@@ -64,20 +64,22 @@ def test_chains_and_groups(spark, largest, levels):
     assert {r["_id"]: r["component_id"] for r in rows} == dict(enumerate(components(texts)))
 
 
-def test_pairs_by_brute_force():
+@pytest.mark.parametrize("few", [64, 5, 1])
+def test_pairs_by_brute_force(few):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, (6, 4), dtype=np.uint64)
-    sim = base[rng.integers(0, 6, 200)]
+    sim = base[rng.integers(0, 6, 400)]
     for _ in range(60):
-        sim[np.arange(200), rng.integers(0, 4, 200)] ^= np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)
-    bucket, n, comp = np.sort(rng.integers(0, 9, 200)), rng.integers(8, 12, 200), rng.integers(0, 30, 200)
+        sim[np.arange(400), rng.integers(0, 4, 400)] ^= np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)
+    bucket, n, comp = np.sort(rng.integers(0, 4, 400)), rng.integers(36, 46, 400), rng.integers(0, 30, 400)
+    comp[rng.random(400) < 0.5] = 77
     far = np.bitwise_count(sim[:, None] ^ sim[None]).sum(axis=2)
-    fits = (bucket[:, None] == bucket) & (comp[:, None] != comp) & (far <= near_copies.RADIUS) & (5 * np.minimum(n[:, None], n) >= 4 * np.maximum(n[:, None], n))
-    i, j = near_copies.near_pairs(bucket, sim, n, comp, 0)
-    want = {(a, b) for a, b in zip(*np.nonzero(fits), strict=True) if a < b}
-    assert len(want) > 50 and set(zip(i.tolist(), j.tolist(), strict=True)) == want
-    i, j = near_copies.near_pairs(bucket, sim, n, comp, 2)
-    some = set(zip(i.tolist(), j.tolist(), strict=True))
+    least = np.minimum(n[:, None], n)
+    fits = (bucket[:, None] == bucket) & (comp[:, None] != comp) & (far <= np.where(least < 40, 80, 64)) & (5 * least >= 4 * np.maximum(n[:, None], n))
+    pairs = lambda *x: {(min(a, b), max(a, b)) for a, b in zip(*(y.tolist() for y in near_copies.near_pairs(bucket, sim, n, comp, *x)), strict=True)}
+    want = {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(fits)), strict=True) if a < b}
+    assert len(want) > 500 and pairs(0, few) == want
+    some = pairs(2, few)
     assert some < want and {a for p in some for a in p} == {a for p in want for a in p}
 
 
