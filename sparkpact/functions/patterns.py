@@ -477,6 +477,15 @@ def compile_pattern(source: str, reject_non_ascii: bool = False, use_native: boo
     tree = _Parser(source).parse()
     if reject_non_ascii and _beyond_ascii(tree):
         raise PatternError("policy", 0, "non-ASCII pattern value")
+    parts = checks_of(tree)
+    checks = tuple((render(n), render(n, java=False), want) for n, want in parts)
+    if sum(len(c[0]) for c in checks) > MAX_TEXT:
+        raise PatternError("complexity", 0, "translated pattern is too long")
+    return Pattern(source, checks, reject_non_ascii)
+
+
+def checks_of(tree) -> list[tuple]:
+    """A pattern's tree as trees without lookaheads, and whether each has to match."""
     items = tree[1][0][1]
     looks = []
     if items and items[0][0] == "begin":
@@ -484,15 +493,10 @@ def compile_pattern(source: str, reject_non_ascii: bool = False, use_native: boo
             if item[0] != "look":
                 break
             looks.append(item)
-    if looks:
-        parts = [(("seq", [("begin",), ("group", x[2])]), x[1]) for x in looks]
-        parts.append((("seq", [("begin",), ("group", ("any", [("seq", items[1 + len(looks) :])]))]), True))
-    else:
-        parts = [(tree, True)]
-    checks = tuple((render(n), render(n, java=False), want) for n, want in parts)
-    if sum(len(c[0]) for c in checks) > MAX_TEXT:
-        raise PatternError("complexity", 0, "translated pattern is too long")
-    return Pattern(source, checks, reject_non_ascii)
+    if not looks:
+        return [(tree, True)]
+    parts = [(("seq", [("begin",), ("group", x[2])]), x[1]) for x in looks]
+    return [*parts, (("seq", [("begin",), ("group", ("any", [("seq", items[1 + len(looks) :])]))]), True)]
 
 
 def _beyond_ascii(node) -> bool:

@@ -23,11 +23,11 @@ from ..functions.exact import canonical, escape_token, kind_of
 from ..operators.evaluate import Run, Violation
 from ..plans.schema import Schema
 from ..plans.wire import conjuncts
-from .witnesses import CANONICAL, EXTRA, KINDS, candidates, kinds_of, wrong_values
+from .witnesses import CANONICAL, EXTRA, KINDS, beyond_limits, candidates, kinds_of, wrong_values
 
-#: Fixed order of rules.
+#: The order of rules; a format's place depends on whether it is one of numbers or of strings.
 RULES = (
-    "type", "enum", "minimum", "maximum", "multipleOf", "format", "minLength", "maxLength", "pattern",
+    "type", "enum", "minimum", "maximum", "multipleOf", "number format", "minLength", "maxLength", "pattern", "format",
     "minItems", "maxItems", "minProperties", "maxProperties", "required", "additionalProperties", "allOf", "anyOf",
 )
 ANY = "+"  # in templates: an undeclared member
@@ -58,13 +58,13 @@ class Report:
     uncovered: list[Obligation] = field(default_factory=list)
 
 
-def occurrences(s: Schema, template: str = "#", beside: tuple[Schema, ...] = ()) -> Iterator[tuple[Schema, str, list[str]]]:
-    """A schema and all below it, each with its instance template and the kinds that it and its siblings allow.
+def occurrences(s: Schema, template: str = "#", beside: tuple[Schema, ...] = ()) -> Iterator[tuple[Schema, str, tuple[Schema, ...]]]:
+    """A schema and all below it, each with its instance template and the conjuncts that a value there has to meet.
 
     In templates '*' is an index, '+' an undeclared member. Siblings are the conjuncts above.
     """
     joint = (*beside, *conjuncts(s))
-    yield s, template, kinds_of(list(joint))
+    yield s, template, joint
     if s.items is not None:
         yield from occurrences(s.items, f"{template}/*")
     for name, c in s.properties.items():
@@ -93,9 +93,15 @@ def _rules(s: Schema) -> Iterator[tuple[str, bool]]:
 def obligations(root: Schema) -> list[Obligation]:
     """All of them, without repeats, in a fixed order."""
     out: dict[Obligation, None] = {}
-    for s, at, kinds in occurrences(root):
-        add = lambda rule, target: out.setdefault(Obligation(s.pointer, at, rule, target))  # noqa: B023, E731
-        for kind in kinds:
+    rank: dict[Obligation, int] = {}
+    for s, at, joint in occurrences(root):
+
+        def add(rule: str, target: str, s=s, at=at) -> None:
+            o = Obligation(s.pointer, at, rule, target)
+            out.setdefault(o)
+            rank[o] = RULES.index("number format" if rule == "format" and s.number_format else rule)
+
+        for kind in kinds_of(list(joint)):
             add("type", f"level:{kind}")
         if s.type:
             add("type", "fault:type")
@@ -119,13 +125,25 @@ def obligations(root: Schema) -> list[Obligation]:
             for mask in masks(s):
                 add("anyOf", f"level:mask:{mask}")
             add("anyOf", "fault:anyOf")
-    return sorted(out, key=lambda o: (o.template, o.pointer, RULES.index(o.rule), o.target.startswith("fault"), o.target))
+    return sorted(out, key=lambda o: (_tokens(o.pointer), _tokens(o.template), rank[o], o.target.startswith("fault"), _target(o.target)))
+
+
+def _tokens(pointer: str) -> list[tuple]:
+    """A pointer's tokens in order: indices by number, names by bytes."""
+    return [(0, int(t), b"") if t.isdecimal() and t.isascii() else (1, 0, t.replace("~1", "/").replace("~0", "~").encode()) for t in pointer.split("/")[1:]]
+
+
+def _target(target: str) -> tuple:
+    *_, last = target.split(":")
+    if target.startswith("level:") and last in KINDS:
+        return (0, KINDS.index(last), "")
+    return (1, int(last), "") if last.isdecimal() and last.isascii() else (2, 0, target)
 
 
 def masks(s: Schema) -> list[int]:
     """Truth masks of the alternatives that witnesses reach; bit i is alternative i."""
     pool = [v for k in KINDS for v in CANONICAL[k]]
-    pool += itertools.islice(candidates(s), 96)
+    pool += candidates(s)
     found = set()
     for v in pool:
         truth = [not Run().check(b, v) for b in s.any_of]
@@ -225,12 +243,15 @@ class Search:
 
     def __init__(self, root: Schema, max_steps: int):
         self.root, self.left, self.steps = root, max_steps, 0
-        #: steps that one obligation may spend on new values of the root, and on edits
+        #: steps that one obligation may spend on new values of the root, and on edits; it grows from turn to turn
         self.share = max(64, max_steps // max(1, 2 * len(obligations(root))))
         self.valid: list[Any] = []
         self.by_key = {(s.pointer, at): s for s, at, _ in occurrences(root)}
+        self.joint = {(s.pointer, at): list(joint) for s, at, joint in occurrences(root)}
         self.declared = {n for s, _, _ in occurrences(root) for n in s.properties}
         self.stream = candidates(root)
+        #: whether the share ended the last search, and not its candidates
+        self.cut = False
 
     def check(self, value: Any) -> list[Violation]:
         if not self.left:
@@ -242,27 +263,30 @@ class Search:
     def more_valid(self) -> Iterator[Any]:
         """Valid values: those found before, then new ones, varied at every occurrence."""
         yield from list(self.valid)
-        for v in itertools.islice(self.stream, self.share):
+        last = self.steps + self.share
+        for v in self.stream:
+            if self.steps >= last:
+                self.stream = itertools.chain([v], self.stream)
+                self.cut = True
+                return
             if not self.check(v):
                 self.valid.append(v)
                 yield v
 
     def level(self, o: Obligation) -> Any:
         """A valid value that reaches a level; first from the stream, then by edits of valid values."""
+        self.cut = False
         for v in self.more_valid():
             if o in observed(self.root, v):
                 return v
         s = self.by_key[o.pointer, o.template]
-        pool = list(itertools.islice(candidates(s), 64)) + [x for k in KINDS for x in CANONICAL[k]]
-        if o.target.startswith("level:member:"):
-            pool.insert(0, s.enum[int(o.target.rpartition(":")[2])])
-        parents = list(self.valid)[:8]
         last = self.steps + self.share
-        for v in parents:
+        for v in list(self.valid):
             for grown in self.grown(v, o.template):
                 for path in places(grown, o.template, self.declared):
-                    for new in pool:
+                    for new in self.pool(s, o):
                         if self.steps >= last:
+                            self.cut = True
                             return NOTHING
                         w = replaced(grown, path, new)
                         if not self.check(w) and o in observed(self.root, w):
@@ -270,6 +294,15 @@ class Search:
                             return w
         return NOTHING
 
+    def pool(self, s: Schema, o: Obligation) -> Iterator[Any]:
+        """Values that may reach a level where they stand."""
+        if o.target.startswith("level:member:"):
+            yield s.enum[int(o.target.rpartition(":")[2])]
+        yield from candidates(Schema(s.pointer, all_of=self.joint[o.pointer, o.template]))
+        yield from candidates(s)
+        for k in KINDS:
+            yield from CANONICAL[k]
+
     def grown(self, v: Any, template: str) -> Iterator[Any]:
         """v, and v with members added so that the template has a place in it."""
         yield v
@@ -292,15 +325,18 @@ class Search:
         if o.rule in ("minimum", "maximum"):
             words.add("exclusive" + o.rule.capitalize())
         last = self.steps + 4 * self.share
-        for v in itertools.islice(self.more_valid(), 48):
+        self.cut = False
+        joint = self.joint[o.pointer, o.template]
+        for v in self.more_valid():
             for grown in self.grown(v, o.template):
-                for path in itertools.islice(places(grown, o.template, self.declared), 4):
+                for path in places(grown, o.template, self.declared):
                     tried: set[str] = set()
-                    for new in wrong_values(s, o.rule, at_path(grown, path)):
+                    for new in wrong_values(s, o.rule, at_path(grown, path), joint):
                         if (key := canonical(new)) in tried:
                             continue
                         tried.add(key)
                         if self.steps >= last:
+                            self.cut = True
                             return NOTHING
                         w = replaced(grown, path, new)
                         found = self.check(w)
@@ -321,11 +357,18 @@ class Search:
 
 
 def build(root: Schema, max_steps: int, emit: Callable[[Case], None]) -> Report:
-    """Emits valid rows, then rows with one fault; an error of emit() ends the build."""
+    """Emits valid rows, then rows with one fault; an error of emit() ends the build.
+
+    Obligations are searched in turns, each with a larger share of the steps than the last, until all
+    steps are used ('max_steps_reached') or no candidate is left for any that is open. Then the space of candidates
+    is exhausted ('space_exhausted'), or it leaves out strings, arrays or objects too large to
+    be built ('limits_reached').
+    """
     todo = obligations(root)
     search = Search(root, max_steps)
     covered: set[Obligation] = set()
     emitted: set[str] = set()
+    faults: dict[Obligation, Any] = {}  # these come last
 
     def put(v: Any, valid: bool) -> None:
         if (text := canonical(v)) not in emitted:
@@ -336,17 +379,32 @@ def build(root: Schema, max_steps: int, emit: Callable[[Case], None]) -> Report:
     try:
         if not max_steps:
             raise Budget
-        for o in todo:
-            if o.target.startswith("level") and o not in covered and (v := search.level(o)) is not NOTHING:
-                covered |= observed(root, v) & set(todo)
-                put(v, True)
-        for o in todo:
-            if o.target.startswith("fault") and (v := search.fault(o)) is not NOTHING:
-                covered.add(o)
-                put(v, False)
+        open_ = sorted(todo, key=lambda o: o.target.startswith("fault"))
+        while open_:
+            again = []
+            for o in open_:
+                if o in covered:
+                    continue
+                valid = o.target.startswith("level")
+                v = search.level(o) if valid else search.fault(o)
+                if v is not NOTHING and valid:
+                    covered |= observed(root, v) & set(todo)
+                    put(v, True)
+                elif v is not NOTHING:
+                    covered.add(o)
+                    faults[o] = v
+                elif search.cut:
+                    again.append(o)
+            open_, search.share = again, search.share * 4
     except Budget:
         stop = "max_steps_reached"
-    return Report(stop, search.steps, [o for o in todo if o in covered], [o for o in todo if o not in covered])
+    for o in todo:
+        if o in faults:
+            put(faults[o], False)
+    uncovered = [o for o in todo if o not in covered]
+    if stop == "space_exhausted" and any(beyond_limits(search.joint[o.pointer, o.template]) for o in uncovered):
+        stop = "limits_reached"
+    return Report(stop, search.steps, [o for o in todo if o in covered], uncovered)
 
 
 def obligation_table(spark: SparkSession, root: Schema) -> DataFrame:
@@ -358,7 +416,11 @@ def covering(root: Schema, o: Obligation, max_steps: int) -> str | None:
     """A row for one obligation, from a search of its own."""
     search = Search(root, max_steps)
     try:
-        v = search.level(o) if o.target.startswith("level") else search.fault(o)
+        while True:
+            v = search.level(o) if o.target.startswith("level") else search.fault(o)
+            if v is not NOTHING or not search.cut:
+                break
+            search.share *= 4
     except Budget:
         return None
     return None if v is NOTHING else canonical(v)
@@ -377,8 +439,9 @@ def generate_cases(spark: SparkSession, root: Schema, max_steps: int = 2000) ->
                     out.append((row.ord, text, row.target.startswith("level")))
             yield pd.DataFrame(out, columns=["ord", "json", "valid"]).astype({"ord": "int32", "valid": bool})
 
+    # each obligation is a task's worth of work: they are dealt in turn, not by hash
     table = obligation_table(spark, root)
-    return table.repartition(table.sparkSession.sparkContext.defaultParallelism, "ord").mapInPandas(search, "ord int, json string, valid boolean")
+    return table.repartitionByRange(max(1, min(table.count(), 4 * spark.sparkContext.defaultParallelism)), "ord").mapInPandas(search, "ord int, json string, valid boolean")
 
 
 def coverage(spark: SparkSession, root: Schema, cases: DataFrame) -> DataFrame:

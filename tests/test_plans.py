@@ -147,3 +147,46 @@ def test_generate_on_spark(spark):
     assert all((not r.errors(c.json)) == c.valid for c in cases.collect())
     table = coverage(spark, r.body, cases)
     assert table.count() == len(obligations(r.body)) and table.filter("covered").count() == cases.count()
+
+
+def built(schema, steps=60000):
+    r = contract(schema)
+    rows = []
+    report = build(r.body, steps, rows.append)
+    assert all((not r.errors(c.json)) == c.valid for c in rows)
+    return r, report, [c.json for c in rows if c.valid], [c.json for c in rows if not c.valid]
+
+
+def test_strings_of_joint_patterns_formats_and_lengths():
+    """Words that no sample has come from the product of all conjuncts' languages."""
+    schema = {"allOf": [{"type": "string", "pattern": "^[a-f]+$"}, {"pattern": "^(?:ab)+c"}, {"pattern": "d{3}$", "minLength": 12, "maxLength": 14}]}
+    _, report, good, bad = built(schema)
+    assert {o.target for o in report.uncovered} == set() and report.stop_reason == "space_exhausted"
+    assert good and any(len(x) == 14 for x in good) and len(bad) >= 5
+    _, report, good, _ = built({"type": "string", "format": "date", "pattern": "^19[0-9]{2}-0[1-3]"})
+    assert good and report.uncovered == []
+
+
+def test_long_strings():
+    _, report, good, bad = built({"type": "string", "pattern": "^(?:abc)*$", "minLength": 5000, "maxLength": 6000})
+    assert report.uncovered == [] and len(good[0]) > 5000 and 6003 in {len(x) - 2 for x in bad} and min(len(x) for x in bad) < 5000
+    _, report, _, _ = built({"type": "string", "maxLength": 10**9})
+    assert report.stop_reason == "limits_reached" and [o.target for o in report.uncovered] == ["fault:maxLength"]
+
+
+def test_faults_that_cannot_stand_alone_stay_uncovered():
+    _, report, _, _ = built({"type": "string", "pattern": "^a{3}$", "maxLength": 5})
+    assert [o.target for o in report.uncovered] == ["fault:maxLength"] and report.stop_reason == "space_exhausted"
+    _, report, _, _ = built({"type": "integer", "minimum": 3, "multipleOf": 2, "enum": [4, 6]})
+    assert {o.target for o in report.uncovered} == {"fault:type", "fault:minimum", "fault:multipleOf"}
+
+
+def test_order_of_obligations():
+    r = contract({"allOf": [{"type": "string", "format": "date", "maxLength": 10, "minLength": 1}] * 1 + [{}] * 10, "type": "string", "nullable": True})
+    found = obligations(r.body)
+    own = [o for o in found if o.pointer.endswith("/allOf/0")]
+    assert [o.rule for o in own if o.target.startswith("fault")] == ["type", "minLength", "maxLength", "format"]
+    at = [o.pointer.rpartition("/")[2] for o in found if "/allOf/" in o.pointer]
+    assert at == sorted(at, key=int)
+    number = contract({"type": "number", "format": "float", "maximum": 1, "multipleOf": 0.5}).body
+    assert [o.rule for o in obligations(number) if o.target.startswith("fault")] == ["type", "maximum", "multipleOf", "format"]
