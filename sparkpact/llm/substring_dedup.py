@@ -37,8 +37,8 @@ from .shared import HOT as HOT_KEYS
 from .textops import Words, blocks, byte_sizes, mixed, words, xxh64
 
 WINDOW, PREFIXES = 35, (8, 16, 24)
-#: Occurrences of a prefix that one task's subtree may hold: about 3 MB of text.
-HOT = 1 << 13
+#: Occurrences of a prefix that one task's subtree may hold: about 10 MB of text.
+HOT = 1 << 15
 #: Suffixes whose subtrees grow together.
 CHUNK = 1 << 17
 #: Bytes of one text that are handled at a time.
@@ -177,6 +177,18 @@ def _windows(batches, window: int, hot, prefixes: tuple[int, ...]) -> Iterator[t
             yield batch, own
 
 
+def _hot_batches(window: int, hot, prefixes: tuple[int, ...]):
+    """Rows with a window of a frequent anchor."""
+
+    def some(batches):
+        for batch in batches:
+            rows = [own.part.row[np.unique(own.text)] for _, own in _windows([batch], window, hot, prefixes)]
+            if rows:
+                yield batch.take(pa.array(np.unique(np.concatenate(rows))))
+
+    return some
+
+
 def _runs(at: np.ndarray) -> np.ndarray:
     """Where each run of equal neighbours begins, and the end."""
     return np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
@@ -354,10 +366,16 @@ def _whole_batches(window: int, hot, above: tuple[int, ...], some, frequent):
             for k in range(alike):
                 here = np.minimum(at + k, len(most) - 1)
                 sure |= (most[here, 0] == h0) & (most[here, 1] == h1)
-            which = np.flatnonzero(sure | in_bitmap(some.value, h0.view(np.uint64)))
-            if len(which):
-                hashes = [pa.array(h[which], mask=sure[which]) for h in (h0, h1)]
-                yield pa.RecordBatch.from_arrays([*hashes, *own.place(batch, which)], ["h0", "h1", *KEY, "lo"])
+            # of the most frequent, those that overlap or touch as one stretch
+            hit = np.flatnonzero(sure)
+            first = np.flatnonzero(np.concatenate([[True], (own.text[hit][1:] != own.text[hit][:-1]) | (np.diff(own.starts[hit]) > window)])) if len(hit) else hit
+            last = np.concatenate([first[1:], [len(hit)]])[: len(first)] - 1
+            rest = np.flatnonzero(~sure & in_bitmap(some.value, h0.view(np.uint64)))
+            *row, lo = own.place(batch, np.concatenate([hit[first], rest]))
+            size = np.concatenate([own.starts[hit[last]] - own.starts[hit[first]], np.zeros(len(rest), np.int64)]) + window
+            none = np.arange(len(size)) < len(first)
+            hashes = [pa.array(np.concatenate([np.zeros(len(first), np.int64), h[rest]]), mask=none) for h in (h0, h1)]
+            yield pa.RecordBatch.from_arrays([*hashes, *row, lo, pa.array(lo.to_numpy() + size)], ["h0", "h1", *KEY, "lo", "hi"])
 
     return windows
 
@@ -387,6 +405,9 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...
         if large.isEmpty():
             break
         hot.append(too_hot)
+        if not level:
+            # only these texts are read from now on
+            texts = materialize(texts.mapInArrow(_hot_batches(window, list(hot), prefixes), texts.schema), "sub-hot")
     else:
         counts = texts.mapInArrow(_whole_counts(window, list(hot), prefixes), "h0 long, h1 long, n long")
         twice = materialize(counts.groupBy("h0", "h1").agg(F.sum("n").alias("n")).filter("n > 1"), "sub-twice")
@@ -396,11 +417,11 @@ def repeat_spans(docs: DataFrame, window: int = WINDOW, prefixes: tuple[int, ...
         rows = twice.filter(is_most).select("h0", "h1").orderBy("h0", "h1").toArrow()
         most = sc.broadcast(np.stack([rows.column(k).to_numpy() for k in ("h0", "h1")], axis=1))
         some = sc.broadcast(_sized_bitmap(twice.filter(~is_most), "h0"))
-        places = texts.mapInArrow(_whole_batches(window, list(hot), prefixes, some, most), f"h0 long, h1 long, {KEY[0]} long, {KEY[1]} long, lo long")
+        places = texts.mapInArrow(_whole_batches(window, list(hot), prefixes, some, most), f"h0 long, h1 long, {KEY[0]} long, {KEY[1]} long, lo long, hi long")
         places = materialize(places, "sub-windows")
         rest = places.filter("h0 is not null").join(twice.filter(~is_most), ["h0", "h1"], "left_semi")
         each = places.filter("h0 is null").unionByName(rest)
-        found.append(each.select(*KEY, "lo", (F.col("lo") + window).alias("hi")))
+        found.append(each.select(*KEY, "lo", "hi"))
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
