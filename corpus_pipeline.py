@@ -13,11 +13,11 @@ from sparkpact.llm.language_id import keep_identified
 from sparkpact.llm.mixing import mixed_documents
 from sparkpact.llm.near_copies import drop_similar
 from sparkpact.llm.pieces import piece_digests
-from sparkpact.llm.shared import materialize
+from sparkpact.llm.shared import drop, materialize, tables
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null texts and those without a letter."""
+    """Rejects documents in no language: null texts, those without a letter, and those to which the network gives no language more than half."""
     return keep_identified(docs)
 
 
@@ -54,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; a stage's own tables, and its predecessor's result, go once its result is written."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with tables(spark):
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", outlives=True)
+        if written is not None:
+            drop(written)
+        written = docs
     return docs

@@ -74,6 +74,27 @@ def test_no_labels(spark, table):
 
 
 def test_stage(table):
-    kept = keep_identified(table)
+    kept = keep_identified(table, least=0.0)
     assert kept.columns == table.columns
     assert {900, 901, 902}.isdisjoint(r["doc_id"] for r in kept.collect()) and kept.count() == table.count() - 3
+    assert keep_identified(table).count() > 0.97 * kept.count()
+
+
+def test_many_languages_share_the_sample(spark):
+    """No language is left out: with 300 of them, and copies of a text that crowd one, each is learnt."""
+    rows = [(4 * i + j, f"{chr(97 + i // 20)}{chr(97 + i % 20)}x{j} " * 5, f"l{i:03d}") for i in range(300) for j in range(4)]
+    rows += [(10000 + i, "copied text of one language", "l000") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(fit(df, sample=3, total=600).labels) >= 295
+
+
+def test_held_out_accuracy(spark):
+    """The registered query on documents: the quarter that the network has not seen."""
+    from sparkpact.llm.entries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.01"
+    out = QUERIES["op5_language_id"](spark, sf_dir)
+    assert out.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = out.filter("held_out").collect()
+    assert len(rows) > 200 and sum(truth[r["doc_id"]] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)

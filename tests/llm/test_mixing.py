@@ -1,9 +1,10 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from sparkpact.llm.mixing import mix, mixed_documents, source_targets
+from sparkpact.llm.mixing import document_rates, mix, mixed_documents, source_targets
 
 
 def size_of(text):
@@ -76,9 +77,47 @@ def test_empty(no_docs):
 
 
 def test_stage(docs):
-    n = {r["doc_id"]: r["_copies"] for r in mix(docs).filter("doc_id >= 0 and doc_id < 60").dropDuplicates(["doc_id"]).collect()}
     out = mixed_documents(docs)
     assert out.columns == docs.columns
-    got = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    times = {r["doc_id"]: r["count"] for r in docs.groupBy("doc_id").count().collect()}
-    assert all(got.get(i, 0) == c * times[i] for i, c in n.items())
+    key = lambda r: repr((r["doc_id"], r["text"], r["source"]))
+    want = Counter()
+    for r in mix(docs).collect():
+        want[key(r)] += r["_copies"]
+    assert Counter(key(r) for r in out.collect()) == +want
+
+
+def test_rates_have_the_greatest_entropy(spark):
+    """The cells' rates are those of the convex dual's optimum, found here by bisection of its one equation a source."""
+    rng = np.random.default_rng(3)
+    cells = [(f"s{k}", int(x), float(x), int(n)) for k in range(3) for x, n in zip(np.unique(rng.integers(1, 400, 30)), rng.integers(1, 50, 30), strict=False)]
+    size: dict = {}
+    for s, _, x, n in cells:
+        size[s] = size.get(s, 0) + int(x * n)
+    share = {"s0": 0.4, "s1": 1.3, "s2": 1.9}
+    df = spark.createDataFrame(cells, "source string, cell long, size double, n long")
+    targets = spark.createDataFrame([(s, size[s], share[s] * size[s]) for s in size], "source string, source_size long, target double")
+    got = {(r["source"], r["size"]): r["rate"] for r in document_rates(df, targets, 2.0).collect()}
+    for s in size:
+        x, n = (np.array([c[i] for c in cells if c[0] == s], float) for i in (2, 3))
+        lo, hi = -1.0, 1.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (n * x * 2 / (1 + np.exp(-mid * x))).sum() < share[s] * size[s] else (lo, mid)
+        assert [got[s, v] for v in x.tolist()] == pytest.approx((2 / (1 + np.exp(-lo * x))).tolist(), abs=2e-3)
+
+
+def test_registered_query(spark, sf_dir):
+    from sparkpact.llm.entries import QUERIES
+
+    out = QUERIES["op2_mixing"](spark, sf_dir)
+    assert out.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    sizes, taken, rows = defaultdict(int), defaultdict(int), out.collect()
+    for r in rows:
+        d = docs[r["doc_id"]]
+        assert r["size"] == size_of(d["text"]) and r["taken"] in (0, r["size"], 2 * r["size"])
+        sizes[d["source"]] += r["size"]
+        taken[d["source"]] += r["taken"]
+    want = water(sizes)
+    assert {docs[r["doc_id"]]["source"]: r["target"] for r in rows} == pytest.approx(want)
+    assert all(abs(taken[s] - t) <= max(0.02 * t, 50) for s, t in want.items())
