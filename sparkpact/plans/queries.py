@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import format_column
 from ..functions.patterns import compile_pattern
 from ..operators import columns, nodes, pairs, typed
+from . import verdicts
 from .contracts import warehouse
 from .schema import Schema
 
@@ -564,64 +565,6 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entry(spark, sf_dir).select(F.concat_ws(" ", "pointer", "keyword").alias("obligation"), (F.col("violations") > 0).alias("covered"))
 
 
-# generated cases
-GENERATED = """
-openapi: 3.0.3
-info: {title: cases, version: "1"}
-paths:
-  /case:
-    post:
-      operationId: case
-      requestBody:
-        content:
-          application/json:
-            schema:
-              type: object
-              required: [id, tags]
-              additionalProperties: false
-              minProperties: 2
-              properties:
-                id: {type: integer, format: int32, minimum: 1, maximum: 9, multipleOf: 2}
-                tags: {type: array, minItems: 1, maxItems: 3, items: {type: string, pattern: '^[a-c]+$', maxLength: 4}}
-                kind: {type: string, nullable: true, enum: [x, y, null]}
-                mail: {type: string, format: email, maxLength: 20}
-                size: {anyOf: [{type: number, minimum: 10}, {type: string, minLength: 3}]}
-"""
-
-
-def _generated() -> Schema:
-    from ..contract import compile_contract
-
-    return compile_contract(GENERATED)["case"].body
-
-
-@query("g01_cases_agree", "SELECT true AS agree")
-def cases_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generated rows, judged again: the verdict is the expected one for each."""
-    from ..generate.cases import generate_cases
-
-    cases = generate_cases(spark, _generated())
-    errors = columns.body_errors(_generated())(F.col("json"))
-    return cases.select(((F.size(errors) == 0) == F.col("valid")).alias("agree")).distinct()
-
-
-@query("g08_obligations")
-def obligation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What generated rows have to cover, in order."""
-    from ..generate.cases import obligation_table
-
-    return obligation_table(spark, _generated())
-
-
-@query("g28_coverage")
-def case_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which obligations generated rows cover."""
-    from ..generate.cases import coverage as covered
-    from ..generate.cases import generate_cases
-
-    return covered(spark, _generated(), generate_cases(spark, _generated()))
-
-
 @query(
     "x01_stream_verdicts",
     f"SELECT CASE WHEN {_K} < 10 OR {_K} > 89 THEN 1 ELSE 0 END AS errors, count(*) AS n FROM events GROUP BY 1",
@@ -656,6 +599,16 @@ CELLS: dict[str, tuple[dict, str, str]] = {
     "q19_any_of": ({"schema": {"anyOf": [{"type": "integer", "maximum": 25}, _STR]}}, "concat('p=', p_size)", "CASE WHEN p_size <= 25 THEN concat(p_size, '') ELSE concat('\"', p_size, '\"') END"),
     "p04_label_primitive": ({"in": "path", "style": "label", "schema": _INT}, "concat('/v/.', p_size)", "p_size"),
     "p04_matrix_primitive": ({"in": "path", "style": "matrix", "schema": _STR}, f"concat('/v/;p=', {_BRAND})", "concat('\"', p_brand, '\"')"),
+    "p04_simple_primitive": ({"in": "path", "schema": _INT}, "concat('/v/', p_size)", "p_size"),
+    "p05_simple_exploded": ({"in": "path", "explode": True, "schema": {"type": "array", "items": _INT}}, "concat('/v/', p_size, ',8')", "concat('[', p_size, ',8]')"),
+    "p05_label_array": ({"in": "path", "style": "label", "schema": {"type": "array", "items": _INT}}, "concat('/v/.', p_size, ',8')", "concat('[', p_size, ',8]')"),
+    "p05_label_exploded": ({"in": "path", "style": "label", "explode": True, "schema": {"type": "array", "items": _INT}}, "concat('/v/.', p_size, '.8')", "concat('[', p_size, ',8]')"),
+    "p05_matrix_packed": ({"in": "path", "style": "matrix", "schema": {"type": "array", "items": _INT}}, "concat('/v/;p=', p_size, ',8')", "concat('[', p_size, ',8]')"),
+    "p06_simple_exploded": ({"in": "path", "explode": True, "schema": _BOX}, f"concat('/v/size=', p_size, ',brand=', {_BRAND})", "concat('{\"size\":', p_size, ',\"brand\":\"', p_brand, '\"}')"),
+    "p06_label_packed": ({"in": "path", "style": "label", "schema": _BOX}, f"concat('/v/.size,', p_size, ',brand,', {_BRAND})", "concat('{\"size\":', p_size, ',\"brand\":\"', p_brand, '\"}')"),
+    "p06_matrix_object": ({"in": "path", "style": "matrix", "schema": _BOX}, f"concat('/v/;p=size,', p_size, ',brand,', {_BRAND})", "concat('{\"size\":', p_size, ',\"brand\":\"', p_brand, '\"}')"),
+    "p06_matrix_exploded": ({"in": "path", "style": "matrix", "explode": True, "schema": _BOX}, f"concat('/v/;size=', p_size, ';brand=', {_BRAND})", "concat('{\"size\":', p_size, ',\"brand\":\"', p_brand, '\"}')"),
+    "p03_empty_array": ({"in": "path", "style": "label", "schema": {"type": "array", "items": _INT}}, "'/v/.'", "'[]'"),
     "p05_simple_array": ({"in": "path", "schema": {"type": "array", "items": _INT}}, "concat('/v/', p_size, ',8')", "concat('[', p_size, ',8]')"),
     "p05_matrix_array": ({"in": "path", "style": "matrix", "explode": True, "schema": {"type": "array", "items": _INT}}, "concat('/v/;p=', p_size, ';p=8')", "concat('[', p_size, ',8]')"),
     "p06_label_object": ({"in": "path", "style": "label", "explode": True, "schema": _BOX}, f"concat('/v/.size=', p_size, '.brand=', {_BRAND})", "concat('{\"size\":', p_size, ',\"brand\":\"', p_brand, '\"}')"),
@@ -729,3 +682,7 @@ def exact_multiple(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = Schema("#", multiple_of=Num.parse("0.25"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("j"))
     return rows.select("o_orderkey", (F.size(columns.body_errors(schema)(F.col("j"))) == 0).alias("ok"))
+
+
+QUERIES |= verdicts.QUERIES
+SQL |= verdicts.SQL
