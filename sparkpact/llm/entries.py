@@ -10,11 +10,11 @@ from .exact_dedup import op1_exact_dedup
 from .language_id import op5_language_id
 from .licenses import OP8_SQL, op8_license_scan
 from .mixing import op2_mixing
-from .mtree import op3_mtree_search
+from .mtree import OP3_SQL, op3_mtree_search
 from .pieces import op10_sentencepiece
 from .preference import OP7_SQL, op7_preference
 from .simhash import op9_simhash
-from .substring_dedup import op4_substring_dedup
+from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -37,6 +37,8 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op3_mtree_search": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op7_preference": OP7_SQL,
     "op8_license_scan": OP8_SQL,
 }

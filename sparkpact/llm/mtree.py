@@ -454,3 +454,14 @@ def op3_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five rows of the greatest inner products for every 50th embedding."""
     rows = materialize(whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "mt-vectors")
     return top_k(rows, rows.filter("id % 50 = 0"))
+
+
+#: Every query against every row, which is what the tree avoids.
+OP3_SQL = """
+WITH whole AS (SELECT row_number() OVER () AS place, vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS e
+               FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+scored AS (SELECT q.place, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+           FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.place <> c.place AND len(q.e) = len(c.e)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id NULLS LAST) AS n FROM scored)
+SELECT query_id, n::INT AS rank, vec_id, score FROM ranked WHERE n <= 5
+"""

@@ -499,3 +499,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs).select(
         F.col("_id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+#: Every window spelled out, which is what the trees avoid.
+OP4_SQL = r"""
+WITH split AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT place, w, unnest(range(1, len(w) - 33)) AS i FROM split),
+windows AS (SELECT place, i, array_to_string(w[i:i + 34], ' ') AS g FROM starts),
+repeated AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT place, i + k AS p FROM windows JOIN repeated USING (g), range(35) r(k)),
+each AS (SELECT place, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM split),
+kept AS (SELECT place, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM each ANTI JOIN gone USING (place, p) GROUP BY place)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM split LEFT JOIN kept USING (place)
+"""
