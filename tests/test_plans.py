@@ -190,3 +190,15 @@ def test_order_of_obligations():
     assert at == sorted(at, key=int)
     number = contract({"type": "number", "format": "float", "maximum": 1, "multipleOf": 0.5}).body
     assert [o.rule for o in obligations(number) if o.target.startswith("fault")] == ["type", "maximum", "multipleOf", "format"]
+
+
+def test_faults_of_alternatives():
+    """A value that no alternative admits, while all else holds: by languages, and beside the bounds of numbers."""
+    words = {"type": "string", "pattern": "^[a-d]{4}$", "anyOf": [{"pattern": "^a"}, {"pattern": "b$"}, {"enum": ["cccc", "dddd"]}, {"minLength": 9}]}
+    r, report, good, bad = built(words)
+    assert not [o for o in report.uncovered if o.rule == "anyOf"]
+    assert any([v.keyword for v in r.errors(x)] == ["anyOf"] for x in bad)
+    _, report, _, _ = built({"type": "integer", "minimum": 0, "maximum": 100, "anyOf": [{"maximum": 40}, {"minimum": 42, "maximum": 90}, {"minimum": 92}]})
+    assert not [o for o in report.uncovered if o.target == "fault:anyOf"]
+    _, report, _, _ = built({"type": "string", "anyOf": [{"pattern": "^a"}, {"pattern": "^[^a]"}, {"maxLength": 0}]})
+    assert "fault:anyOf" in [o.target for o in report.uncovered]  # there is no such string
