@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from ..cluster import ship
 from ..functions.exact import canonical, escape_token, kind_of
 from ..operators.evaluate import Run, Violation
-from ..plans.schema import Schema
+from ..plans.schema import Compiler, Schema
 from ..plans.wire import conjuncts
+from ..sources.admission import admit
+from ..sources.document import ContractError, Document, json_media_type, media_type
 from .witnesses import CANONICAL, EXTRA, KINDS, beyond_limits, candidates, kinds_of, wrong_values
 
 #: The order of rules; a format's place depends on whether it is one of numbers or of strings.
@@ -407,6 +409,29 @@ def build(root: Schema, max_steps: int, emit: Callable[[Case], None]) -> Report:
     return Report(stop, search.steps, [o for o in todo if o in covered], uncovered)
 
 
+def body_schema(text: str | bytes, operation_id: str) -> Schema:
+    """The schema that an operation's JSON body has in a document, as rows are generated for it.
+
+    Other than for validation, the media type must state a schema, and no two may be equally specific.
+    """
+    document = Document(text)
+    admit(document)
+    found = document.operations().get(operation_id)
+    if found is None or found.content is None:
+        raise ContractError("#/paths", f"operation {operation_id!r} has no request body")
+    listed = found.content.members("content")
+    chosen = json_media_type(listed)
+    if chosen is None:
+        raise ContractError(found.content.pointer, "no media type stands for JSON")
+    alike = [n for n in listed if media_type(n) == media_type(chosen)]
+    if len(alike) > 1:
+        raise ContractError(found.content.pointer, f"media types {alike} are equally specific")
+    media = document.resolve(found.content.child(chosen))
+    if "schema" not in media.members("Media Type Object"):
+        raise ContractError(media.pointer, "a schema is needed")
+    return Compiler(document).compile(media.child("schema"))
+
+
 def obligation_table(spark: SparkSession, root: Schema) -> DataFrame:
     rows = [(i, *o) for i, o in enumerate(obligations(root))]
     return spark.createDataFrame(rows, "ord int, pointer string, template string, rule string, target string")

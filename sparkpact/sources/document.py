@@ -74,6 +74,8 @@ class Operation:
     method: str
     body: Located | None = None
     body_required: bool = False
+    #: the media types of its request body
+    content: Located | None = None
     query: list[Located] = field(default_factory=list)
     path: list[Located] = field(default_factory=list)
     all_parameters: list = field(default_factory=list)
@@ -359,7 +361,7 @@ class Document:
             required = body.members("request body") and body.flag("required")
             if "content" not in body.value:
                 raise ContractError(body.pointer, "content does not exist")
-            content = body.child("content")
+            content = op.content = body.child("content")
             chosen = json_media_type(content.members("content"))
             if chosen is not None:
                 op.body, op.body_required = media_schema(content.child(chosen)), bool(required)

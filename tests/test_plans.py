@@ -202,3 +202,30 @@ def test_faults_of_alternatives():
     assert not [o for o in report.uncovered if o.target == "fault:anyOf"]
     _, report, _, _ = built({"type": "string", "anyOf": [{"pattern": "^a"}, {"pattern": "^[^a]"}, {"maxLength": 0}]})
     assert "fault:anyOf" in [o.target for o in report.uncovered]  # there is no such string
+
+
+def test_admission_of_generated_bodies():
+    from sparkpact.contract import compile_contract
+    from sparkpact.generate.cases import body_schema
+    from sparkpact.sources.document import ContractError
+
+    def doc(**content):
+        return json.dumps({"openapi": "3.0.3", "paths": {"/a": {"post": {"operationId": "op", "requestBody": {"content": {k.replace("_", "/"): v for k, v in content.items()}}}}}})
+
+    assert body_schema(doc(application_json={"schema": {"type": "boolean"}}), "op").type == "boolean"
+    assert body_schema(doc(**{"application_*": {"schema": {}}, "application_json": {"schema": {"type": "string"}}}), "op").type == "string"
+    missing = doc(application_json={})
+    assert compile_contract(missing)["op"].errors("1") == []  # validation takes any value
+    for bad in (missing, doc(text_plain={"schema": {}}), doc(**{"application_json": {"schema": {}}, "application_json;a=b": {"schema": {}}})):
+        with pytest.raises(ContractError):
+            body_schema(bad, "op")
+    with pytest.raises(ContractError):
+        body_schema(missing, "other")
+
+
+def test_seeded_frontier():
+    from sparkpact.generate.witnesses import frontier
+
+    first, again, other = (list(frontier(s)) for s in (7, 7, 8))
+    assert first == again != other and len(set(first)) > 100
+    assert max(len(n.digits) for n in first) == 4 and {len(n.digits) for n in first[:6]} == {1}
