@@ -17,7 +17,7 @@ from sparkpact.llm.shared import drop, materialize, tables
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null texts, those without a letter, and those to which the network gives no language more than half."""
+    """Rejects documents in no language: null texts, those without a letter, and those to which the network gives no language a score of 0.4."""
     return keep_identified(docs)
 
 

@@ -30,7 +30,7 @@ WIDTHS, FILTERS, EMBED = (2, 3, 4), 8, 8
 #: Pieces of text that a language gives to training at most, that all languages give, and their characters.
 SAMPLE, TOTAL, PIECE = 1200, 200_000, 192
 #: The least score of a text that is taken to be in a language at all.
-LEAST = 0.5
+LEAST = 0.4
 EPOCHS, RATE, BATCH = 12, 0.01, 64
 UNDETERMINED = "und"
 

@@ -6,11 +6,14 @@ meet in buckets, which here are bands of ROWS least shingle hashes: two texts of
 bands with probability (1 - s^ROWS)^BANDS, 6e-7 at 0.8. Within a bucket they are compared by bit planes, as in
 op9, and pairs within the radius are judged exactly by their sets. Texts with equal sets are one node.
 
-Only pairs of different components need judging. At first each node of a bucket of FEW nodes at most is judged
-with its nearest two, and the nodes of a larger one with a leader, which joins large groups of copies. Then the
-pairs that are still apart are compared. A bucket of more than BUCKET nodes which are not all one component
-is dealt anew by bands of other hashes, so that texts which share no more than a frequent passage part. What
-is large after LEVELS such turns is compared, but for its largest component's own pairs, whole.
+Only pairs of different components need judging, and few of them: in turns, each bucket of BUCKET nodes at most
+names leaders, the nodes with the most others within the radius, no two of which are near each other at first. All of a
+leader's pairs are judged, after which it leaves the bucket. Hubs are found at once, so groups of copies
+become one component in a turn or two; turn k lets 4^k leaders be near each other, so a few turns judge all
+pairs that are still apart. A larger bucket first judges its nodes with the one that is nearest to the majority of
+a sample's bits, and is then dealt anew by bands of other hashes, so that texts which share no more than a
+frequent passage part. What is large after LEVELS such turns is compared, but for its largest component's own
+pairs, whole.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ SHINGLE = 5
 BANDS, ROWS = 20, 3
 #: Words of a fingerprint, and bits that near copies may differ in; sets of less than SMALL shingles may in more.
 WORDS_, RADIUS, SMALL, SMALL_RADIUS = 4, 64, 40, 80
-#: Nodes of a bucket that are compared by shifts of all buckets' planes, and by planes of its own; rows shifted together.
-FEW, BUCKET, CHUNK = 64, 1 << 12, 1 << 15
+#: Nodes of a bucket all of whose pairs are judged, and that name leaders; rows of small buckets that are shifted together.
+FEW, BUCKET, CHUNK = 8, 1 << 11, 1 << 15
+#: Nodes of a large bucket whose majority chooses its leader.
+SAMPLE = 64
 #: Nodes of a bucket that are compared with all others at a time.
 TOGETHER = 256
 #: Times that large buckets are dealt anew.
@@ -179,28 +184,41 @@ def dense_rows(fp: np.ndarray, comp: np.ndarray, radius: int) -> Iterator[tuple[
         yield i[keep], j[keep]
 
 
-def near_pairs(bucket: np.ndarray, sim: np.ndarray, n: np.ndarray, comp: np.ndarray, nearest: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one bucket and different components within the radius, whose sizes allow a similarity of 0.8.
+def near_pairs(bucket: np.ndarray, sim: np.ndarray, n: np.ndarray, comp: np.ndarray, turn: int, few: int = FEW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one bucket to be judged in a turn, and the rows all of whose pairs are among them.
 
-    nearest: only those in which one row is among the so many nearest of the other; 0: all. Rows are sorted by bucket.
+    They are of different components and within the radius, and their sizes allow a similarity of 0.8. Rows are sorted by bucket.
     """
+    if not len(bucket):
+        return (np.zeros(0, np.int64),) * 3
     edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     size = np.diff(edge)
     small = np.flatnonzero(np.repeat(size <= few, size))
-    found = [_fitting(small[i], small[j], sim, n, comp) for i, j in near_rows(bucket[small], sim[small], SMALL_RADIUS)]
+    found = [_fitting(small[i], small[j], sim, n, comp)[:2] for i, j in near_rows(bucket[small], sim[small], SMALL_RADIUS)]
+    done = [small]
     for lo, hi in zip(edge[:-1][size > few].tolist(), edge[1:][size > few].tolist(), strict=True):
-        found += [_fitting(lo + i, lo + j, sim, n, comp) for i, j in dense_rows(sim[lo:hi], comp[lo:hi], SMALL_RADIUS)]
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
-    if nearest:
-        keep = np.zeros(len(i), bool)
-        row, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
-        order = np.lexsort((pair, np.tile(d, 2), row))
-        first = np.searchsorted(row[order], row[order])
-        keep[pair[order[np.arange(len(order)) - first < nearest]]] = True
-        i, j = i[keep], j[keep]
-    return i, j
+        for leader, others in leaders(sim[lo:hi], n[lo:hi], comp[lo:hi], turn):
+            found.append((np.full(len(others), lo + leader), lo + others))
+            done.append(np.array([lo + leader]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    return i, j, np.concatenate(done)
+
+
+def leaders(sim: np.ndarray, n: np.ndarray, comp: np.ndarray, turn: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of one bucket, those with the most rows near them first, and all rows near each: fewer than 4**turn leaders have a leader near them."""
+    degree, total = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    for i, j in dense_rows(sim, comp, SMALL_RADIUS):
+        i, j, d = _fitting(i, j, sim, n, comp)
+        for x in (i, j):
+            degree += np.bincount(x, minlength=len(n))
+            total += np.bincount(x, weights=d, minlength=len(n)).astype(np.int64)
+    covered = np.zeros(len(n), np.int64)
+    every = np.arange(len(n))
+    for row in np.lexsort((total, -degree))[: np.count_nonzero(degree)].tolist():
+        if covered[row] < 4**turn:
+            _, others, _ = _fitting(np.full(len(n), row), every, sim, n, comp)
+            covered[others] += 1
+            yield row, others
 
 
 def _fitting(i: np.ndarray, j: np.ndarray, sim: np.ndarray, n: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,12 +231,17 @@ def _fitting(i: np.ndarray, j: np.ndarray, sim: np.ndarray, n: np.ndarray, comp:
     return i[near], j[near], d[near]
 
 
-def _pair_batches(nearest: int):
+def _pair_batches(turn: int):
     def pairs(rows: dict) -> pa.RecordBatch:
-        i, j = near_pairs(rows["bucket"], rows["sim"], rows["n"], rows["comp"], nearest)
+        i, j, done = near_pairs(rows["bucket"], rows["sim"], rows["n"], rows["comp"], turn)
         a, b = rows["node"][i], rows["node"][j]
         both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+        # rows that are done: their bucket, and no second node
+        first = np.concatenate([both[:, 0], rows["node"][done]])
+        is_pair = np.arange(len(first)) < len(both)
+        second = np.concatenate([both[:, 1], np.zeros(len(done), np.int64)])
+        bucket = np.concatenate([np.zeros(len(both), np.int64), rows["bucket"][done]])
+        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second, mask=~is_pair), pa.array(bucket, mask=is_pair)], ["a", "b", "bucket"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: dict = {}
@@ -238,9 +261,22 @@ def _pair_batches(nearest: int):
     return run
 
 
+def _majority_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket's sampled fingerprints, the bits that most of them have."""
+    for batch in batches:
+        own = [np.array([[s[k] for k in _SIM] for s in sample], np.int64) for sample in batch.column("sample").to_pylist()]
+        bits = [2 * np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0) > len(x) for x in own]
+        words_ = np.packbits(np.array(bits).reshape(len(own), -1), axis=1, bitorder="little").view(np.int64).reshape(len(own), WORDS_)
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("m"), *(pa.array(words_[:, k].copy()) for k in range(WORDS_))], ["bucket", "m", *[f"c_{k}" for k in _SIM]])
+
+
+def _distance(x: str, y: str) -> Column:
+    return sum((F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))) for k in _SIM), F.lit(0))
+
+
 def _within(x: str, y: str) -> Column:
     """Whether two nodes may be similar, by their components, sizes and fingerprints."""
-    differ = sum((F.bit_count(F.col(f"{x}.{k}").bitwiseXOR(F.col(f"{y}.{k}"))) for k in _SIM), F.lit(0))
+    differ = _distance(f"{x}.", f"{y}.")
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
     return (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & (5 * small >= 4 * large) & (differ <= F.when(small < SMALL, SMALL_RADIUS).otherwise(RADIUS))
 
@@ -294,15 +330,22 @@ class Similar:
         several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
         return materialize(join_counted(rows.drop("m"), several.select("bucket", "m"), "bucket", "m"), "near-open")
 
-    def compare(self, rows: DataFrame, nearest: int) -> DataFrame:
+    def compare(self, rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """(pairs to be judged, rows (bucket, node) that have no others left) of buckets of BUCKET nodes at most."""
         dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
-        return dealt.select("bucket", "node", "n", "comp", *_SIM).mapInArrow(_pair_batches(nearest), "a long, b long")
+        found = dealt.select("bucket", "node", "n", "comp", *_SIM).mapInArrow(_pair_batches(turn), "a long, b long, bucket long")
+        found = materialize(found, "near-found")
+        return found.filter("b is not null").select("a", "b"), found.filter("b is null").select("bucket", F.col("a").alias("node"))
 
     def lead(self, rows: DataFrame) -> DataFrame:
-        """Pairs of a bucket's leader with its other nodes."""
-        best = F.min(F.struct(F.xxhash64("bucket", "node"), "node", "n", "comp", *_SIM)).alias("l")
-        leaders = rows.groupBy("bucket").agg(best, F.count(F.lit(1)).alias("m")).select("bucket", "m", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("node", "n", "comp", *_SIM)])
-        both = join_counted(rows.drop("m"), leaders, "bucket", "m")
+        """Pairs of a large bucket's leader with its other nodes: it is the one nearest to the majority of a sample's bits."""
+        h = F.pmod(F.xxhash64("bucket", "node", F.lit("lead")), F.lit(1 << 40))
+        some = rows.filter(h <= (1 << 40) * (2 * SAMPLE) / F.col("m")).groupBy("bucket").agg(F.collect_list(F.struct(*_SIM)).alias("sample"), F.first("m").alias("m"))
+        centres = materialize(some.mapInArrow(_majority_batches, "bucket long, m long, " + ", ".join(f"c_{k} long" for k in _SIM)), "near-centres")
+        near = join_counted(rows.drop("m"), centres, "bucket", "m")
+        best = F.min(F.struct(_distance("", "c_").alias("d"), "node", "n", "comp", *_SIM)).alias("l")
+        leader = near.groupBy("bucket").agg(best, F.count(F.lit(1)).alias("m")).select("bucket", "m", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("node", "n", "comp", *_SIM)])
+        both = join_counted(rows.drop("m"), materialize(leader, "near-leaders"), "bucket", "m")
         pair = both.select(F.struct("node", "n", "comp", *_SIM).alias("x"), F.struct(*[F.col(f"l_{c}").alias(c) for c in ("node", "n", "comp", *_SIM)]).alias("y"))
         return pair.filter(_within("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
@@ -330,21 +373,23 @@ class Similar:
     def run(self, largest: int, levels: int) -> DataFrame:
         """Links (a, b) whose components are those of all similar pairs that meet in a bucket."""
         rows = self.nodes.withColumn("comp", F.col("node")).select("node", "n", "comp", *_SIM, F.explode("bands").alias("bucket"))
-        for level in range(levels + 1):
+        level = turn = 0
+        while True:
             rows = self.open(rows)
-            few, many = rows.filter(F.col("m") <= FEW), rows.filter(F.col("m") > FEW)
-            self.judge(self.compare(few, 2).unionByName(self.lead(many)))
-            labelled = self.open(self.labelled(rows).select(*rows.columns))
-            small, large = labelled.filter(F.col("m") <= largest), labelled.filter(F.col("m") > largest)
-            if labelled.isEmpty():
-                break
-            done = large.isEmpty()
-            pairs = self.compare(small, 0)
-            self.judge(pairs.unionByName(self.rest(large)) if level == levels and not done else pairs)
-            if done:
-                break
-            rows = self.deal(large, level + 1)
-        return self.links
+            small, large = rows.filter(F.col("m") <= largest), rows.filter(F.col("m") > largest)
+            pairs, done = self.compare(small, turn)
+            any_large = not large.isEmpty()
+            if any_large:
+                pairs = pairs.unionByName(self.rest(large) if level == levels else self.lead(large))
+            elif pairs.isEmpty() and self.links is not None:
+                return self.links
+            self.judge(pairs)
+            left = small.join(done, ["bucket", "node"], "left_anti")
+            if any_large and level < levels:
+                level += 1
+                large = self.open(self.labelled(large).select(*rows.columns))
+                left = left.unionByName(self.deal(large, level).withColumn("m", F.lit(0).cast("long")).select(*left.columns))
+            rows, turn = self.labelled(left.drop("m")), turn + 1
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: int = BUCKET, levels: int = LEVELS) -> DataFrame:

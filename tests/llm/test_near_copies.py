@@ -76,11 +76,32 @@ def test_pairs_by_brute_force(few):
     far = np.bitwise_count(sim[:, None] ^ sim[None]).sum(axis=2)
     least = np.minimum(n[:, None], n)
     fits = (bucket[:, None] == bucket) & (comp[:, None] != comp) & (far <= np.where(least < 40, 80, 64)) & (5 * least >= 4 * np.maximum(n[:, None], n))
-    pairs = lambda *x: {(min(a, b), max(a, b)) for a, b in zip(*(y.tolist() for y in near_copies.near_pairs(bucket, sim, n, comp, *x)), strict=True)}
     want = {(a, b) for a, b in zip(*(x.tolist() for x in np.nonzero(fits)), strict=True) if a < b}
-    assert len(want) > 500 and pairs(0, few) == want
-    some = pairs(2, few)
-    assert some < want and {a for p in some for a in p} == {a for p in want for a in p}
+    assert len(want) > 500
+    # in turns: the rows that are done have no pairs left, and at the end all have been named
+    left, seen = np.arange(400), set()
+    for turn in range(8):
+        i, j, done = near_copies.near_pairs(bucket[left], sim[left], n[left], comp[left], turn, few)
+        named = {(min(a, b), max(a, b)) for a, b in zip(left[i].tolist(), left[j].tolist(), strict=True)}
+        assert named <= want
+        seen |= named
+        over = set(left[done].tolist())
+        assert all(p in seen for p in want if over & set(p))
+        left = left[~np.isin(left, left[done])]
+    assert seen == want
+
+
+def test_hubs_are_leaders():
+    """Variants of one text that are near each other but similar to it alone: it leads, and each is judged once."""
+    rng = np.random.default_rng(2)
+    hub = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    sim = np.repeat(hub[None], 500, axis=0)
+    for r in range(1, 500):
+        bits = rng.choice(256, 26, replace=False)
+        np.bitwise_xor.at(sim[r], bits // 64, np.uint64(1) << (bits % 64).astype(np.uint64))
+    order = rng.permutation(500)
+    i, j, done = near_copies.near_pairs(np.zeros(500, np.int64), sim[order], np.full(500, 100), np.arange(500), 0)
+    assert order[done].tolist() == [0] and len(i) == 499 and set(i.tolist()) == set(done.tolist())
 
 
 def test_long_texts_in_pieces(monkeypatch):
