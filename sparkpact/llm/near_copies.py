@@ -263,7 +263,7 @@ def _pair_batches(turn: int):
 
 def _majority_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket's sampled fingerprints, the bits that most of them have."""
-    for batch in batches:
+    for batch in (b for b in batches if len(b)):
         own = [np.array([[s[k] for k in _SIM] for s in sample], np.int64) for sample in batch.column("sample").to_pylist()]
         bits = [2 * np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0) > len(x) for x in own]
         words_ = np.packbits(np.array(bits).reshape(len(own), -1), axis=1, bitorder="little").view(np.int64).reshape(len(own), WORDS_)
