@@ -9,7 +9,7 @@ op9, and pairs within the radius are judged exactly by their sets. Texts with eq
 Only pairs of different components need judging, and few of them: in turns, each bucket of BUCKET nodes at most
 names leaders, the nodes with the most others within the radius, no two of which are near each other at first. All of a
 leader's pairs are judged, after which it leaves the bucket. Hubs are found at once, so groups of copies
-become one component in a turn or two; turn k lets 4^k leaders be near each other, so a few turns judge all
+become one component in a turn or two; turn k lets NEAR_LEADERS^k leaders be near each other, so the third judges all
 pairs that are still apart. A larger bucket first judges its nodes with the one that is nearest to the majority of
 a sample's bits, and is then dealt anew by bands of other hashes, so that texts which share no more than a
 frequent passage part. What is large after LEVELS such turns is compared, but for its largest component's own
@@ -37,8 +37,8 @@ BANDS, ROWS = 20, 3
 WORDS_, RADIUS, SMALL, SMALL_RADIUS = 4, 64, 40, 80
 #: Nodes of a bucket all of whose pairs are judged, and that name leaders; rows of small buckets that are shifted together.
 FEW, BUCKET, CHUNK = 8, 1 << 11, 1 << 15
-#: Nodes of a large bucket whose majority chooses its leader.
-SAMPLE = 64
+#: Leaders near a leader in the second turn, and nodes of a large bucket whose majority chooses its leader.
+NEAR_LEADERS, SAMPLE = 64, 64
 #: Nodes of a bucket that are compared with all others at a time.
 TOGETHER = 256
 #: Times that large buckets are dealt anew.
@@ -205,7 +205,7 @@ def near_pairs(bucket: np.ndarray, sim: np.ndarray, n: np.ndarray, comp: np.ndar
 
 
 def leaders(sim: np.ndarray, n: np.ndarray, comp: np.ndarray, turn: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of one bucket, those with the most rows near them first, and all rows near each: fewer than 4**turn leaders have a leader near them."""
+    """Rows of one bucket, those with the most rows near them first, and all rows near each: before a leader, fewer than NEAR_LEADERS**turn others are near it."""
     degree, total = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
     for i, j in dense_rows(sim, comp, SMALL_RADIUS):
         i, j, d = _fitting(i, j, sim, n, comp)
@@ -215,7 +215,7 @@ def leaders(sim: np.ndarray, n: np.ndarray, comp: np.ndarray, turn: int) -> Iter
     covered = np.zeros(len(n), np.int64)
     every = np.arange(len(n))
     for row in np.lexsort((total, -degree))[: np.count_nonzero(degree)].tolist():
-        if covered[row] < 4**turn:
+        if covered[row] < NEAR_LEADERS**turn:
             _, others, _ = _fitting(np.full(len(n), row), every, sim, n, comp)
             covered[others] += 1
             yield row, others
@@ -298,14 +298,14 @@ class Similar:
         texts, _ = split_by_keys(self.own.select(*KEY, "_text"), F.xxhash64(*KEY), need.select(F.xxhash64(*KEY)))
         return texts.join(need, [*KEY]).select("node", "_text")
 
-    def judge(self, pairs: DataFrame) -> None:
-        """Adds to the links those pairs (a, b) whose sets are similar; none is judged twice."""
+    def judge(self, pairs: DataFrame) -> bool:
+        """Adds to the links those pairs (a, b) whose sets are similar; none is judged twice. Whether there are any."""
         pairs = pairs.distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "near-pairs")
         if self.links is not None and pairs.isEmpty():
-            return
+            return False
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("m"))
         texts = self._texts(need.join(self.nodes, "node"))
@@ -319,6 +319,7 @@ class Similar:
         found = materialize(found, "near-links")
         drop(sets)
         self.links = found if self.links is None else self.links.unionByName(found)
+        return not found.isEmpty()
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """rows (node) with comp, the component of each so far."""
@@ -383,13 +384,13 @@ class Similar:
                 pairs = pairs.unionByName(self.rest(large) if level == levels else self.lead(large))
             elif pairs.isEmpty() and self.links is not None:
                 return self.links
-            self.judge(pairs)
+            linked = self.judge(pairs)
             left = small.join(done, ["bucket", "node"], "left_anti")
             if any_large and level < levels:
                 level += 1
                 large = self.open(self.labelled(large).select(*rows.columns))
                 left = left.unionByName(self.deal(large, level).withColumn("m", F.lit(0).cast("long")).select(*left.columns))
-            rows, turn = self.labelled(left.drop("m")), turn + 1
+            rows, turn = self.labelled(left.drop("m")) if linked else left, turn + 1
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: int = BUCKET, levels: int = LEVELS) -> DataFrame:
