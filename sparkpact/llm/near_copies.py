@@ -9,8 +9,9 @@ op9, and pairs within the radius are judged exactly by their sets. Texts with eq
 Only pairs of different components need judging, and few of them: in turns, each bucket of BUCKET nodes at most
 names leaders, the nodes with the most others within the radius, no two of which are near each other at first. All of a
 leader's pairs are judged, after which it leaves the bucket. Hubs are found at once, so groups of copies
-become one component in a turn or two; turn k lets NEAR_LEADERS^k leaders be near each other, so the third judges all
-pairs that are still apart. A larger bucket first judges its nodes with the one that is nearest to the majority of
+become one component in a turn. From the second turn on, the sets of a bucket's nodes that are still apart go to the bucket, SETS
+hashes at most, and all pairs are judged there: no pair is a row. With more hashes the bucket goes on in turns, of which
+turn k lets NEAR_LEADERS^k leaders be near each other, so the third judges all pairs that are still apart. A larger bucket first judges its nodes with the one that is nearest to the majority of
 a sample's bits, and is then dealt anew by bands of other hashes, so that texts which share no more than a
 frequent passage part. What is large after LEVELS such turns is compared, but for its largest component's own
 pairs, whole.
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
 from .exact_dedup import without_rows
 from .shared import KEY, Flat, column, drop, join_counted, keyed, materialize, split_by_keys, tables, workers
-from .simhash import PIECE_BYTES, _shingles, majority, members, near_rows, piece_hashes
+from .simhash import PIECE_BYTES, _shingles, _union, majority, members, near_rows, piece_hashes
 from .textops import BLOCK_BYTES, blocks, byte_sizes, mixed, words, xxh64
 
 SHINGLE = 5
@@ -39,6 +41,8 @@ WORDS_, RADIUS, SMALL, SMALL_RADIUS = 4, 64, 40, 80
 FEW, BUCKET, CHUNK = 8, 1 << 11, 1 << 15
 #: Leaders near a leader in the second turn, and nodes of a large bucket whose majority chooses its leader.
 NEAR_LEADERS, SAMPLE = 64, 64
+#: Shingle hashes of a bucket whose sets are compared in one task (16 MB).
+SETS = 1 << 21
 #: Nodes of a bucket that are compared with all others at a time.
 TOGETHER = 256
 #: Times that large buckets are dealt anew.
@@ -261,6 +265,55 @@ def _pair_batches(turn: int):
     return run
 
 
+def set_links(sets: np.ndarray, sim: np.ndarray, n: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between rows of one bucket whose components are those of all similar pairs within the radius; sets: the n hashes of each row in turn."""
+    at = np.concatenate([[0], np.cumsum(n)])
+    _, number = np.unique(sets, return_inverse=True)
+    # the first row of each row's component so far
+    label = np.unique(comp, return_index=True, return_inverse=True)
+    label = label[1][label[2]]
+    own = np.zeros(len(sets), bool)
+    found = [(np.zeros(0, np.int64),) * 2]
+    for i in range(len(n) - 1):
+        later = np.arange(i + 1, len(n))
+        _, j, _ = _fitting(np.full(len(later), i), later, sim, n, label)
+        if not len(j):
+            continue
+        own[number[at[i] : at[i + 1]]] = True
+        first = np.cumsum(n[j]) - n[j]
+        both = np.add.reduceat(own[number[np.repeat(at[j] - first, n[j]) + np.arange(n[j].sum())]], first, dtype=np.int64)
+        own[number[at[i] : at[i + 1]]] = False
+        j = j[9 * both >= 4 * (n[i] + n[j])]
+        if len(j):
+            found.append((np.full(len(j), i), j))
+            _union(label, *found[-1])
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j
+
+
+def _set_link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each bucket, whose rows follow each other; one bucket is held at a time."""
+
+    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        node, n, comp = (rows[k].to_numpy() for k in ("node", "n", "comp"))
+        sim = np.stack([rows[k].to_numpy().view(np.uint64) for k in _SIM], axis=1)
+        i, j = set_links(pa.compute.list_flatten(rows["_set"]).to_numpy(), sim, n, comp)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in (b for b in batches if len(b)):
+        bucket = batch.column("bucket").to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if held and held[0].column("bucket")[0].as_py() != bucket[lo]:
+                yield links(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield links(held)
+
+
 def _majority_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket's sampled fingerprints, the bits that most of them have."""
     for batch in (b for b in batches if len(b)):
@@ -298,6 +351,11 @@ class Similar:
         texts, _ = split_by_keys(self.own.select(*KEY, "_text"), F.xxhash64(*KEY), need.select(F.xxhash64(*KEY)))
         return texts.join(need, [*KEY]).select("node", "_text")
 
+    def _sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, _set) of some nodes (node)."""
+        texts = self._texts(nodes.join(self.nodes, "node"))
+        return materialize(texts.mapInArrow(_set_batches, "node long, _set array<long>"), "near-sets")
+
     def judge(self, pairs: DataFrame) -> bool:
         """Adds to the links those pairs (a, b) whose sets are similar; none is judged twice. Whether there are any."""
         pairs = pairs.distinct()
@@ -308,8 +366,7 @@ class Similar:
             return False
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("m"))
-        texts = self._texts(need.join(self.nodes, "node"))
-        sets = materialize(texts.mapInArrow(_set_batches, "node long, _set array<long>"), "near-sets")
+        sets = self._sets(need)
         for side in ("a", "b"):
             own = sets.join(pairs.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("m")), "node")
             pairs = join_counted(pairs, own.select(F.col("node").alias(side), F.col("_set").alias(f"_{side}"), "m"), side, "m").drop("m")
@@ -321,15 +378,32 @@ class Similar:
         self.links = found if self.links is None else self.links.unionByName(found)
         return not found.isEmpty()
 
-    def labelled(self, rows: DataFrame) -> DataFrame:
-        """rows (node) with comp, the component of each so far."""
-        labels = materialize(connected_components(self.links, "a", "b"), "near-labels")
-        return rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
+    def labels(self) -> DataFrame:
+        """(node, label): the component so far of each node that has a link."""
+        return materialize(connected_components(self.links, "a", "b"), "near-labels")
+
+    def labelled(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """rows (node) with comp, the component of each by labels."""
+        both = rows.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node"))
+        return materialize(both.select(*rows.columns), "near-labelled")
 
     def open(self, rows: DataFrame) -> DataFrame:
-        """Those rows whose buckets hold several components, with m, the nodes of the bucket."""
-        several = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
-        return materialize(join_counted(rows.drop("m"), several.select("bucket", "m"), "bucket", "m"), "near-open")
+        """Those rows whose buckets hold several components, with m, the nodes of the bucket, and w, the hashes of their sets."""
+        several = rows.groupBy("bucket").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")
+        )
+        several = materialize(several.filter("lo <> hi").select("bucket", "m", "w"), "near-several")
+        return materialize(join_counted(rows.drop("m", "w"), several, "bucket", "m"), "near-open")
+
+    def inside(self, rows: DataFrame) -> bool:
+        """Adds to the links those that similar pairs of buckets of BUCKET nodes and SETS hashes at most make. Whether there are any."""
+        sets = self._sets(rows.select("node").distinct())
+        own = rows.select("bucket", "node", "n", "comp", *_SIM).join(sets, "node")
+        dealt = own.repartition("bucket").sortWithinPartitions("bucket")
+        found = materialize(dealt.mapInArrow(_set_link_batches, "a long, b long").distinct(), "near-links")
+        drop(sets)
+        self.links = found if self.links is None else self.links.unionByName(found)
+        return not found.isEmpty()
 
     def compare(self, rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
         """(pairs to be judged, rows (bucket, node) that have no others left) of buckets of BUCKET nodes at most."""
@@ -343,10 +417,10 @@ class Similar:
         h = F.pmod(F.xxhash64("bucket", "node", F.lit("lead")), F.lit(1 << 40))
         some = rows.filter(h <= (1 << 40) * (2 * SAMPLE) / F.col("m")).groupBy("bucket").agg(F.collect_list(F.struct(*_SIM)).alias("sample"), F.first("m").alias("m"))
         centres = materialize(some.mapInArrow(_majority_batches, "bucket long, m long, " + ", ".join(f"c_{k} long" for k in _SIM)), "near-centres")
-        near = join_counted(rows.drop("m"), centres, "bucket", "m")
+        near = join_counted(rows.drop("m", "w"), centres, "bucket", "m")
         best = F.min(F.struct(_distance("", "c_").alias("d"), "node", "n", "comp", *_SIM)).alias("l")
         leader = near.groupBy("bucket").agg(best, F.count(F.lit(1)).alias("m")).select("bucket", "m", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("node", "n", "comp", *_SIM)])
-        both = join_counted(rows.drop("m"), materialize(leader, "near-leaders"), "bucket", "m")
+        both = join_counted(rows.drop("m", "w"), materialize(leader, "near-leaders"), "bucket", "m")
         pair = both.select(F.struct("node", "n", "comp", *_SIM).alias("x"), F.struct(*[F.col(f"l_{c}").alias(c) for c in ("node", "n", "comp", *_SIM)]).alias("y"))
         return pair.filter(_within("x", "y")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
@@ -358,7 +432,7 @@ class Similar:
         sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
         main = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("m"))
         main = materialize(main.withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("long")), "near-main")
-        both = materialize(join_counted(rows.drop("m"), main, "bucket", "m"), "near-rest")
+        both = materialize(join_counted(rows.drop("m", "w"), main, "bucket", "m"), "near-rest")
         few = both.filter("comp <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         all_ = both.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")))
         found = few.alias("x").join(all_.alias("y"), F.expr("x.bucket = y.bucket and x.chunk = y.chunk") & _within("x", "y"))
@@ -368,29 +442,37 @@ class Similar:
         """Nodes of large buckets in smaller ones, by bands of other hashes."""
         texts = self._texts(rows.select("node").distinct().join(self.nodes, "node"))
         bands = materialize(texts.mapInArrow(_band_batches(level), "node long, _bands array<long>"), "near-bands")
-        own = rows.drop("m").join(bands, "node").withColumn("_band", F.explode("_bands")).drop("_bands")
+        own = rows.drop("m", "w").join(bands, "node").withColumn("_band", F.explode("_bands")).drop("_bands")
         return own.withColumn("bucket", F.xxhash64("bucket", "_band")).drop("_band")
 
     def run(self, largest: int, levels: int) -> DataFrame:
         """Links (a, b) whose components are those of all similar pairs that meet in a bucket."""
         rows = self.nodes.withColumn("comp", F.col("node")).select("node", "n", "comp", *_SIM, F.explode("bands").alias("bucket"))
+        names = rows.columns
         level = turn = 0
         while True:
             rows = self.open(rows)
             small, large = rows.filter(F.col("m") <= largest), rows.filter(F.col("m") > largest)
+            linked = False
+            if turn:
+                whole, small = small.filter(F.col("w") <= SETS), small.filter(F.col("w") > SETS)
+                linked = not whole.isEmpty() and self.inside(whole)
             pairs, done = self.compare(small, turn)
             any_large = not large.isEmpty()
             if any_large:
                 pairs = pairs.unionByName(self.rest(large) if level == levels else self.lead(large))
             elif pairs.isEmpty() and self.links is not None:
                 return self.links
-            linked = self.judge(pairs)
-            left = small.join(done, ["bucket", "node"], "left_anti")
+            linked = self.judge(pairs) or linked
+            left, large = small.join(done, ["bucket", "node"], "left_anti").select(*names), large.select(*names)
+            if linked:
+                labels = self.labels()
+                left = self.labelled(left, labels)
+                large = self.labelled(large, labels) if any_large and level < levels else large
             if any_large and level < levels:
                 level += 1
-                large = self.open(self.labelled(large).select(*rows.columns))
-                left = left.unionByName(self.deal(large, level).withColumn("m", F.lit(0).cast("long")).select(*left.columns))
-            rows, turn = self.labelled(left.drop("m")) if linked else left, turn + 1
+                left = left.unionByName(self.deal(self.open(large), level).select(*names))
+            rows, turn = left, turn + 1
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: int = BUCKET, levels: int = LEVELS) -> DataFrame:

@@ -115,3 +115,50 @@ def test_long_texts_in_pieces(monkeypatch):
 
 def test_empty(no_docs):
     assert similar_groups(no_docs).collect() == []
+
+
+def variants(n, words_, changed, seed):
+    """Texts that each differ from one text, which is not among them, in some words of their own."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=6))
+    base, texts = [word() for _ in range(words_)], []
+    for _ in range(n):
+        own = list(base)
+        for k in rng.sample(range(words_), changed):
+            own[k] = word()
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("hashes", [near_copies.SETS, 0])
+def test_near_group_without_a_hub(spark, monkeypatch, hashes):
+    """Texts within the radius that are not similar: their pairs are judged in the bucket, where its sets fit, and not as rows."""
+    texts = [t for k in range(6) for t in variants(40, 120, 3, k)]
+    monkeypatch.setattr(near_copies, "SETS", hashes)
+    judged, labelled = [], []
+    judge, label = near_copies.Similar.judge, near_copies.Similar.labelled
+    monkeypatch.setattr(near_copies.Similar, "judge", lambda self, pairs: judged.append(pairs.distinct().count()) or judge(self, pairs))
+    monkeypatch.setattr(near_copies.Similar, "labelled", lambda self, rows, labels: labelled.append(out := label(self, rows, labels)) or out)
+    df = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "near-test")
+    got = {r["_id"]: r["component_id"] for r in similar_groups(df).collect()}
+    want = dict(enumerate(components(texts)))
+    assert got == want and len(set(want.values())) > 20
+    # later turns make no pairs of rows, and the labels of all that is left are joined once
+    assert (sum(judged[1:]) == 0) == (hashes > 0)
+    assert all("Join" not in x._jdf.queryExecution().optimizedPlan().toString() for x in labelled)
+
+
+def test_links_of_a_bucket_by_brute_force():
+    texts = [t.encode() for k, c in enumerate((0, 1, 2, 3, 4)) for t in variants(25, 60, c, k)] + [b"a", b"a b c d e f"]
+    h, n = near_copies.shingle_sets(texts)
+    comp = np.arange(len(n)) // 2 * 2
+    i, j = near_copies.set_links(h, near_copies.wide_prints(h, n), n, comp)
+    want, label = components([t.decode() for t in texts]), np.arange(len(n))
+    # what stood in one component before is joined as well
+    for a, b in [*zip(i, j, strict=True), *zip(comp, np.arange(len(n)), strict=True), *enumerate(want)]:
+        label[label == label[a]] = label[b]
+    mine = np.arange(len(n))
+    for a, b in [*zip(i, j, strict=True), *zip(comp, np.arange(len(n)), strict=True)]:
+        mine[mine == mine[a]] = mine[b]
+    assert [len({*mine[label == x]}) for x in np.unique(label)] == [1] * len(np.unique(label))
+    assert all(want[a] == want[b] for a, b in zip(i, j, strict=True))
