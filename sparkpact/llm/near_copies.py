@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .exact_dedup import without_rows
-from .shared import KEY, Flat, column, drop, join_counted, keyed, materialize, split_by_keys, tables, workers
+from .shared import KEY, Flat, column, counted_parts, drop, join_counted, keyed, materialize, split_by_keys, tables, workers
 from .simhash import PIECE_BYTES, _shingles, _union, majority, members, near_rows, piece_hashes
 from .textops import BLOCK_BYTES, blocks, byte_sizes, mixed, words, xxh64
 
@@ -367,9 +367,13 @@ class Similar:
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("m"))
         sets = self._sets(need)
+        own = {}
         for side in ("a", "b"):
-            own = sets.join(pairs.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("m")), "node")
-            pairs = join_counted(pairs, own.select(F.col("node").alias(side), F.col("_set").alias(f"_{side}"), "m"), side, "m").drop("m")
+            counted = sets.join(pairs.groupBy(F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("m")), "node")
+            own[side] = counted.select(F.col("node").alias(side), F.col("_set").alias(f"_{side}"), "m")
+        # parted by b before they are joined, so that no pair meets the set of a twice
+        joined = [join_counted(some, own["a"], "a", "m").drop("m").join(table, "b").drop("m") for some, table in counted_parts(pairs, own["b"], "b", "m")]
+        pairs = joined[0] if len(joined) == 1 else joined[0].unionByName(joined[1])
         both = F.size(F.array_intersect("_a", "_b"))
         # both / (a + b - both) >= 4 / 5
         found = pairs.filter(9 * both >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b")

@@ -226,3 +226,14 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFra
     many = F.broadcast(table.filter(hot))
     rest = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti")
     return rows.join(many, key).unionByName(rest.join(table.filter(~hot), key))
+
+
+def counted_parts(rows: DataFrame, table: DataFrame, key: str, n: str) -> list[tuple[DataFrame, DataFrame]]:
+    """rows in parts, each with its part of the table, as join_counted joins them: a hot part, whose table is to be broadcast, and the rest."""
+    total, most = table.agg(F.sum(n), F.max(n)).first()
+    least = max((total or 0) // HOT, 256)
+    if (most or 0) <= least:
+        return [(rows, table)]
+    many = table.filter(F.col(n) > least)
+    keys = F.broadcast(many.select(key))
+    return [(rows.join(keys, key, "left_semi"), F.broadcast(many)), (rows.join(keys, key, "left_anti"), table.filter(F.col(n) <= least))]

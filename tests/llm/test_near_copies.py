@@ -162,3 +162,29 @@ def test_links_of_a_bucket_by_brute_force():
         mine[mine == mine[a]] = mine[b]
     assert [len({*mine[label == x]}) for x in np.unique(label)] == [1] * len(np.unique(label))
     assert all(want[a] == want[b] for a, b in zip(i, j, strict=True))
+
+
+def test_pairs_meet_each_set_once(spark, tmp_path):
+    """A hub on both sides of more pairs than a task should get: the plan joins each pair once with either side's sets."""
+    texts = variants(1, 60, 0, 1) + variants(700, 60, 2, 1)
+    df = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "near-test")
+    own = near_copies.keyed(df, _id=near_copies.column("doc_id"), _text=near_copies.column("text").cast("binary")).select("_rk_file", "_rk_row", "_id", "_text")
+    near_copies.workers(spark)
+    prints = own.mapInArrow(near_copies._print_batches, "_rk_file long, _rk_row long, _id long, _fp long, _n long, s0 long, s1 long, s2 long, s3 long, _bands array<long>")
+    prints = materialize(prints, "near-test")
+    similar = near_copies.Similar(prints, own.select("_rk_file", "_rk_row", "_text"))
+    nodes = sorted(r["_fp"] for r in prints.select("_fp").collect())
+    hub = nodes[350]
+    pairs = spark.createDataFrame([(min(hub, x), max(hub, x)) for x in nodes if x != hub], "a long, b long")
+    joins = []
+    write = near_copies.materialize
+    near_copies.materialize = lambda x, name, *more: joins.append(x._jdf.queryExecution().analyzed().toString()) or write(x, name, *more) if name == "near-links" else write(x, name, *more)
+    try:
+        similar.judge(pairs)
+    finally:
+        near_copies.materialize = write
+    hashes = {f: set(h.tolist()) for f, h in ((int(near_copies.set_hashes(*near_copies.shingle_sets([t.encode()])).view(np.int64)[0]), near_copies.shingle_sets([t.encode()])[0]) for t in texts)}
+    want = {tuple(p) for p in pairs.collect() if 9 * len(hashes[p[0]] & hashes[p[1]]) >= 4 * (len(hashes[p[0]]) + len(hashes[p[1]]))}
+    assert {tuple(r) for r in similar.links.collect()} == want
+    # the pairs are parted by the hot keys of b before any set is joined
+    assert len(joins) == 1 and "LeftSemi" in joins[0]
