@@ -45,6 +45,8 @@ NEAR_LEADERS, SAMPLE = 64, 64
 SETS = 1 << 21
 #: Nodes of a bucket that are compared with all others at a time.
 TOGETHER = 256
+#: Links that a task contracts at a time (16 MB).
+LINKS = 1 << 20
 #: Times that large buckets are dealt anew.
 LEVELS = 3
 
@@ -314,6 +316,31 @@ def _set_link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield links(held)
 
 
+def _forest_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links with the components of the given ones, LINKS of them at a time: each node with the smallest that it reaches."""
+
+    def forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        label = np.arange(len(nodes))
+        _union(label, at[: len(a)], at[len(a) :])
+        i = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[label[i]]), pa.array(nodes[i])], ["a", "b"])
+
+    a = b = np.zeros(0, np.int64)
+    for batch in batches:
+        a, b = np.concatenate([a, batch.column("a").to_numpy()]), np.concatenate([b, batch.column("b").to_numpy()])
+        if len(a) >= LINKS:
+            yield forest(a, b)
+            a = b = np.zeros(0, np.int64)
+    if len(a):
+        yield forest(a, b)
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) with the components of the given ones, each task's as stars, so that few turns of stars are left to do."""
+    return links.distinct().mapInArrow(_forest_batches, "a long, b long")
+
+
 def _majority_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each bucket's sampled fingerprints, the bits that most of them have."""
     for batch in (b for b in batches if len(b)):
@@ -347,7 +374,8 @@ class Similar:
 
     def _texts(self, nodes: DataFrame) -> DataFrame:
         """(node, _text) of some nodes (node, place), each from one of its rows."""
-        need = materialize(nodes.select("node", *[F.col(f"place.{k}").alias(k) for k in KEY]), "near-need")
+        # few long columns, from any number of tasks: in files of the advisory size
+        need = materialize(nodes.select("node", *[F.col(f"place.{k}").alias(k) for k in KEY]).hint("rebalance"), "near-need")
         texts, _ = split_by_keys(self.own.select(*KEY, "_text"), F.xxhash64(*KEY), need.select(F.xxhash64(*KEY)))
         return texts.join(need, [*KEY]).select("node", "_text")
 
@@ -384,7 +412,7 @@ class Similar:
 
     def labels(self) -> DataFrame:
         """(node, label): the component so far of each node that has a link."""
-        return materialize(connected_components(self.links, "a", "b"), "near-labels")
+        return materialize(connected_components(contracted(self.links), "a", "b"), "near-labels")
 
     def labelled(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """rows (node) with comp, the component of each by labels."""
@@ -396,7 +424,7 @@ class Similar:
         several = rows.groupBy("bucket").agg(
             F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")
         )
-        several = materialize(several.filter("lo <> hi").select("bucket", "m", "w"), "near-several")
+        several = materialize(several.filter("lo <> hi").select("bucket", "m", "w").hint("rebalance"), "near-several")
         return materialize(join_counted(rows.drop("m", "w"), several, "bucket", "m"), "near-open")
 
     def inside(self, rows: DataFrame) -> bool:
@@ -466,7 +494,7 @@ class Similar:
             if any_large:
                 pairs = pairs.unionByName(self.rest(large) if level == levels else self.lead(large))
             elif pairs.isEmpty() and self.links is not None:
-                return self.links
+                return contracted(self.links)
             linked = self.judge(pairs) or linked
             left, large = small.join(done, ["bucket", "node"], "left_anti").select(*names), large.select(*names)
             if linked:

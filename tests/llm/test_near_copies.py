@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from sparkpact.llm import components as components_
 from sparkpact.llm import near_copies
 from sparkpact.llm.near_copies import similar_groups
 from sparkpact.llm.shared import materialize
@@ -188,3 +189,36 @@ def test_pairs_meet_each_set_once(spark, tmp_path):
     assert {tuple(r) for r in similar.links.collect()} == want
     # the pairs are parted by the hot keys of b before any set is joined
     assert len(joins) == 1 and "LeftSemi" in joins[0]
+
+
+def test_links_are_contracted_before_the_stars(spark, monkeypatch):
+    """A chain of near copies, which the stars alone halve in turns of four tables each: after contraction a turn finds them done."""
+    words_ = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words_[8 * k : 8 * k + 120]) for k in range(32)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = []
+    write = components_.materialize
+    monkeypatch.setattr(components_, "materialize", lambda x, name: made.append(name) or write(x, name))
+    got = {r["_id"]: r["component_id"] for r in similar_groups(df).collect()}
+    assert got == dict(enumerate(components(texts))) and set(got.values()) == {0}
+    # the links of the turn and those of all turns
+    assert made.count("cc-edges") <= 4
+
+
+@pytest.mark.parametrize("together", [1 << 20, 7])
+def test_contracted_links_by_brute_force(spark, monkeypatch, together):
+    monkeypatch.setattr(near_copies, "LINKS", together)
+    rng = random.Random(5)
+    edges = [(rng.randrange(-60, 60) * 3, rng.randrange(-60, 60) * 3) for _ in range(70)]
+    batches = [near_copies.pa.RecordBatch.from_arrays([near_copies.pa.array(x) for x in zip(*edges[lo : lo + 5], strict=True)], ["a", "b"]) for lo in range(0, 70, 5)]
+    found = [(r["a"], r["b"]) for batch in near_copies._forest_batches(iter(batches)) for r in batch.to_pylist()]
+
+    def labels(links):
+        label = {x: x for e in edges for x in e}
+        for a, b in links:
+            label = {x: min(label[a], label[b]) if y in (label[a], label[b]) else y for x, y in label.items()}
+        return label
+
+    assert labels(found) == labels(edges)
+    if together > len(edges):
+        assert sorted((y, x) for x, y in labels(edges).items() if x != y) == sorted(found)
